@@ -8,6 +8,13 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # Files are read compressed and by column, so a small file can be a large hash
+    # table: only dimensions are broadcast on file size alone, the rest once their
+    # real size has been seen.
+    "spark.sql.autoBroadcastJoinThreshold": "1m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "16m",
+    # A join whose partitions all fit is hashed, not sorted.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
     # Hot join keys are split into several tasks.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",

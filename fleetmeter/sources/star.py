@@ -17,15 +17,23 @@ def _table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def assets(spark, folder):
-    supplier = _table(spark, folder, "supplier")
-    nation = _table(spark, folder, "nation")
-    category = F.when(F.col("s_nationkey") != 0, F.col("n_name"))
-    return supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left").select(
-        "s_suppkey",
-        F.col("s_name").alias("asset_code"),
-        F.concat(F.lit("Unit "), F.col("s_suppkey").cast("string")).alias("asset_name"),
-        category.alias("asset_category"),
+def on_assets(spark, folder, lines):
+    """Order lines with the columns of their asset.
+
+    Suppliers are joined first and nations second: the size Spark estimates for a
+    join is a product, so a pre-joined pair of small tables would look too large
+    to broadcast.
+    """
+    supplier = _table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    nation = _table(spark, folder, "nation").select("n_nationkey", "n_name")
+    return (
+        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+        .withColumns({
+            "asset_code": F.col("s_name"),
+            "asset_name": F.concat(F.lit("Unit "), F.col("s_suppkey").cast("string")),
+            "asset_category": F.when(F.col("s_nationkey") != 0, F.col("n_name")),
+        })
     )
 
 
@@ -44,7 +52,7 @@ def hour_records(spark, folder):
     line = _table(spark, folder, "lineitem").where("l_linenumber % 2 = 1")
     number = F.col("l_linenumber")
     reset = F.when((number == 7) & (F.col("l_suppkey") % 5 == 0), "true").when(number < 7, "false")
-    return line.join(assets(spark, folder), line.l_suppkey == F.col("s_suppkey")).select(
+    return on_assets(spark, folder, line).select(
         "asset_category",
         "asset_code",
         "asset_name",
@@ -64,7 +72,7 @@ def consumption_records(spark, folder):
     named = rows.join(
         F.broadcast(products(spark, folder)), F.col("product_id") == F.col("p_partkey"), "left"
     )
-    return named.join(assets(spark, folder), F.col("l_suppkey") == F.col("s_suppkey")).select(
+    return on_assets(spark, folder, named).select(
         "asset_category",
         "asset_code",
         "asset_name",
