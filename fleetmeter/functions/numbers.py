@@ -24,8 +24,8 @@ def mean_price(column="total_price"):
     return F.try_divide(F.sum(cents(column)).cast("double"), F.count(column) * CENTS)
 
 
-def total_hours(column):
-    """Sum of hours; a group with no reading at all is 0."""
+def total_or_zero(column):
+    """Sum of hours or quantities; a group with no value at all is 0."""
     return F.coalesce(F.sum(column), F.lit(0.0))
 
 

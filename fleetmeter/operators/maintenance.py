@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetmeter.fixed_values import UNKNOWN_CATEGORY
 from fleetmeter.functions.dates import day_of
+from fleetmeter.functions.numbers import total_or_zero, total_price
 from fleetmeter.operators.predicates import complete
 from fleetmeter.schema import ASSET
 from fleetmeter.sources.shaping import cost_rows, hour_rows
@@ -67,8 +68,8 @@ def named_consumption(costs, extra=()):
 def consumption(costs, extra=()):
     """Quantity and price per consumption."""
     return named_consumption(costs, extra).groupBy(*consumption_keys(extra)).agg(
-        F.coalesce(F.sum("product_bought_qty"), F.lit(0.0)).alias("product_bought_qty"),
-        F.coalesce(F.sum("total_price"), F.lit(0.0)).alias("total_price"),
+        total_or_zero("product_bought_qty").alias("product_bought_qty"),
+        total_price().alias("total_price"),
     )
 
 

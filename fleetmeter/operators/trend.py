@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fleetmeter.fixed_values import PERIOD_COLUMNS, RESET_FLAG, RESET_MESSAGE
 from fleetmeter.functions.dates import period_bounds, period_label, period_start
-from fleetmeter.functions.numbers import cents, CENTS, total_hours, total_price
+from fleetmeter.functions.numbers import cents, CENTS, total_or_zero, total_price
 from fleetmeter.operators.predicates import in_date_range, is_member, product_on_cost_rows, within_days
 
 ENTITIES = {"asset": "asset_code", "category": "asset_category"}
@@ -56,7 +56,7 @@ def _hours(grain):
     """A day's hours are its highest reading; longer periods add up."""
     if grain == "day":
         return F.max("hour_meter_per_date")
-    return total_hours("hour_meter_per_date")
+    return total_or_zero("hour_meter_per_date")
 
 
 def trend_rows(rows, entity="asset", grain="month"):
@@ -116,7 +116,7 @@ def hours_in_periods(rows, entity="asset", grain="month", periods=None):
     name = ENTITIES[entity]
     if grain == "day":
         rows = trend_rows(rows, entity, grain)
-    return rows.groupBy(name).agg(total_hours("hour_meter_per_date").alias("hours"))
+    return rows.groupBy(name).agg(total_or_zero("hour_meter_per_date").alias("hours"))
 
 
 def cost_versus_hours(rows, entity="asset", grain="month"):
@@ -124,9 +124,9 @@ def cost_versus_hours(rows, entity="asset", grain="month"):
     if grain == "day":
         period, name = PERIOD_COLUMNS[grain], ENTITIES[entity]
         return trend_rows(rows, entity, grain).groupBy(period, name).agg(
-            total_price().alias("total_price"), total_hours("hour_meter_per_date").alias("hours")
+            total_price().alias("total_price"), total_or_zero("hour_meter_per_date").alias("hours")
         )
-    values = [total_price().alias("total_price"), total_hours("hour_meter_per_date").alias("hours")]
+    values = [total_price().alias("total_price"), total_or_zero("hour_meter_per_date").alias("hours")]
     return _group(rows, grain, [], [ENTITIES[entity]], values)
 
 

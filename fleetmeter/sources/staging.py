@@ -23,6 +23,11 @@ def staging_folder(spark):
     return _own_folder
 
 
+def staging_path(spark, label):
+    """A new path in the staging folder."""
+    return f"{staging_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def staged(df, label):
     """`df` written to the staging folder as parquet, and the table read back.
 
@@ -30,6 +35,6 @@ def staged(df, label):
     of re-running joins, and each reader takes only the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{staging_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = staging_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
