@@ -1,0 +1,165 @@
+"""Selections, trends, counts and distribution on small facts."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from fleetmeter.operators import distribution, kpi, options, predicates, trend
+from fleetmeter.sources.star import star_fact
+from tests.conftest import FOLDER
+
+D = datetime.datetime
+
+
+def hour(code, date, hours, category="C", reset="false"):
+    return dict(source="hm_record", asset_category=category, asset_code=code, date=date,
+                hour_meter_per_date=hours, reset_hm=reset)
+
+
+def cost(code, date, price, product="pump", category="C"):
+    return dict(source="good_consume", asset_category=category, asset_code=code, date=date,
+                total_price=price, product_name=product)
+
+
+def test_membership_counts_null_as_a_value(spark):
+    frame = spark.createDataFrame([("a",), ("b",), (None,)], "x string")
+    size = lambda values: frame.where(predicates.is_member("x", values)).count()
+    assert [size(["a"]), size(["a", None]), size([None]), size([])] == [1, 2, 1, 0]
+    table = spark.createDataFrame([("a",), (None,)], "v string")
+    assert predicates.in_table(frame, "x", table).count() == 2
+
+
+def test_date_ranges(trend_fact):
+    days = [D(2024, 1, 1), D(2024, 1, 2, 23, 59, 59, 999999), D(2024, 1, 3)]
+    fact = trend_fact([hour("X", d, 1.0) for d in days])
+    size = lambda *args: fact.where(predicates.in_date_range("date", *args)).count()
+    assert size(["2024-01-01", "2024-01-02"]) == 2
+    assert size(["2024-01-02"], "2024-01-03 00:00:00") == 2
+    assert size(["2024-01-02"]) == 2
+    assert size([]) == 3
+
+
+def test_products_filter_cost_rows_only(trend_fact):
+    fact = trend_fact([
+        hour("X", D(2024, 1, 1), 1.0), cost("X", D(2024, 1, 1), 5.0),
+        cost("X", D(2024, 1, 1), 7.0, "hose"), cost("X", D(2024, 1, 1), 9.0, None),
+    ])
+    size = lambda products: trend.select_rows(fact, products=products).count()
+    assert [size(["pump"]), size(["pump", None]), size([]), size(None)] == [2, 3, 1, 4]
+    assert trend.select_rows(fact, "asset", chosen=[]).count() == 0
+
+
+def test_day_takes_highest_and_month_adds_up(trend_fact):
+    fact = trend_fact([hour("X", D(2024, 1, 1, h), v) for h, v in [(1, 3.0), (2, 5.0)]])
+    hours = lambda grain: [r["hour_meter_per_date"] for r in trend.trend(fact, "asset", grain).collect()]
+    assert hours("day") == [5.0]
+    assert hours("month") == [8.0]
+
+
+def test_missing_sums(trend_fact):
+    fact = trend_fact([hour("X", D(2024, 1, 1), 2.0), cost("X", D(2024, 1, 1), 0.1),
+                       cost("X", D(2024, 1, 1), 0.2)])
+    month = {r["source"]: r for r in trend.trend(fact, "asset", "month").collect()}
+    assert month["hm_record"]["total_price"] == 0.0
+    assert month["good_consume"]["hour_meter_per_date"] == 0.0
+    assert month["good_consume"]["total_price"] == 0.3
+    day = {r["source"]: r for r in trend.trend(fact, "asset", "day").collect()}
+    assert day["good_consume"]["hour_meter_per_date"] is None
+
+
+def test_null_keys_stay_in_trends_and_leave_distribution(trend_fact):
+    fact = trend_fact([hour(None, None, 1.0, None, None), hour("X", D(2024, 1, 1), 3.0)])
+    rows = trend.trend(fact, "asset", "week").collect()
+    assert [(r["asset_code"], r["week_column_1"]) for r in rows] == [("X", "2024-W01"), (None, None)]
+    assert [r["asset_category"] for r in distribution.category_distribution(fact).collect()] == ["C"]
+
+
+def test_upstream_labels_are_used(trend_fact):
+    fact = trend_fact([cost("X", D(2024, 1, 1), 5.0)]).withColumn("month_column_1", F.lit("Jan 24"))
+    assert trend.trend(fact, "asset", "month").first()["month_column_1"] == "Jan 24"
+    assert trend.cost_at(fact, "asset", "month", "Jan 24").first()["total_price"] == 5.0
+
+
+@pytest.mark.parametrize("entity", ["asset", "category"])
+def test_orders(spark, entity):
+    fact = star_fact(spark, FOLDER)
+    name = trend.ENTITIES[entity]
+    rows = trend.trend(fact, entity, "quarter").collect()
+    keys = [(r[name], r["quarter_column_1"], r["source"]) for r in rows]
+    assert keys == sorted(keys)
+    days = [(r["source"], r["asset_category"]) for r in trend.trend(fact, entity, "day").collect()]
+    assert days == sorted(days)
+
+
+def test_totals_agree_at_every_grain(spark):
+    fact = star_fact(spark, FOLDER)
+    total = fact.agg(F.sum("total_price"), F.sum("hour_meter_per_date")).first()
+    for grain in ["week", "month", "quarter", "semester", "year"]:
+        rows = trend.trend_rows(fact, "category", grain)
+        sums = rows.agg(F.sum("total_price"), F.sum("hour_meter_per_date")).first()
+        assert sums[0] == pytest.approx(total[0]) and sums[1] == total[1]
+    day = trend.trend_rows(fact, "asset", "day").agg(F.sum("total_price")).first()
+    assert day[0] == pytest.approx(total[0])
+
+
+def test_cost_line_is_the_trend_rolled_up(spark):
+    fact = star_fact(spark, FOLDER)
+    line = {(r[0], r[1]): r[2] for r in trend.cost_line(fact, "asset", "month").collect()}
+    rolled = trend.trend_rows(fact, "asset", "month").groupBy("month_column_1", "asset_code").agg(
+        F.sum("total_price")).collect()
+    assert line == {(r[0], r[1]): pytest.approx(r[2]) for r in rolled}
+
+
+def test_no_period_chosen_no_hours(spark):
+    fact = star_fact(spark, FOLDER)
+    assert trend.hours_in_periods(fact, "asset", "month").count() == 0
+    assert trend.hours_in_periods(fact, "asset", "month", ("1999-01", "1998-01")).count() == 0
+
+
+def test_counts_and_nulls(trend_fact):
+    fact = trend_fact([
+        hour("X", D(2024, 1, 1), 1.0), cost("Y", D(2024, 1, 1), 1.0), hour(None, D(2024, 1, 1), 1.0),
+        cost("Z", D(2024, 1, 1), 1.0, category=None),
+    ])
+    assert kpi.category_counts(fact, ["C", None]).first() == (2, 1, 1)
+    assert kpi.asset_counts(fact, ["C"]).first() == (3, 1, 1)
+    assert kpi.asset_counts(fact, ["C", None]).first() == (4, 2, 1)
+
+
+def test_options_follow_first_date(trend_fact):
+    fact = trend_fact([
+        hour("X", D(2024, 1, 3), 1.0), cost("Y", D(2024, 1, 2), 1.0), hour("X", D(2024, 1, 1), 1.0),
+        hour("W", D(2024, 1, 1), 1.0), cost("V", D(2023, 1, 1), 1.0, category="B"),
+    ])
+    assert [r[0] for r in options.category_options(fact).collect()] == ["B", "C"]
+    assert [r[0] for r in options.asset_options(fact, ["C"]).collect()] == ["W", "X", "Y"]
+    assert [r[0] for r in options.product_options(fact, ["X", "Y"]).collect()] == [None, "pump"]
+    chosen = {(r[0], r[1]) for r in options.default_selection(fact).collect()}
+    assert chosen == {("category", "B"), ("asset", "V"), ("product", "pump")}
+    bounds = options.date_bounds(fact, predicates.is_member("asset_code", ["X"])).first()
+    assert bounds == (datetime.date(2024, 1, 1), datetime.date(2024, 1, 3))
+
+
+def test_distribution_pages_make_the_whole(spark):
+    fact = star_fact(spark, FOLDER)
+    whole = distribution.category_distribution(fact).where("source = 'good_consume'").collect()
+    paged, number = [], 0
+    while rows := distribution.cost_page(fact, number).collect():
+        paged += rows
+        number += 1
+    assert [r["asset_category"] for r in paged] == [r["asset_category"] for r in whole]
+
+
+def test_reset_events(trend_fact):
+    fact = trend_fact([hour("X", D(2024, 1, 1, h), 1.0, reset="true") for h in (1, 2)]
+                      + [hour("X", D(2024, 1, 2), 1.0)])
+    assert [tuple(r) for r in trend.reset_events(fact).collect()] == [
+        ("2024-01-01", "X hour meter is reset")]
+
+
+def test_tooltip_adds_equal_prices(trend_fact):
+    day = D(2024, 1, 1)
+    fact = trend_fact([cost("X", day, 5.0, "a"), cost("X", day, 5.0, "b"), cost("X", day, 7.0, "c")])
+    rows = {r["total_price"]: r["sum_total_price"] for r in trend.cost_tooltip(fact, "asset", "day").collect()}
+    assert rows == {5.0: 10.0, 7.0: 7.0}
