@@ -41,10 +41,16 @@ def table_query(function):
     return function
 
 
+def _maintenance_fact(spark, folder):
+    """The maintenance fact as a table: seven branches of the history read it."""
+    fact = readers.conform(star_fact(spark, folder), MAINTENANCE_SCHEMA)
+    return staged(fact, "fact", by=["source"])
+
+
 def history_query(function):
     """Registers f(history) under its own name."""
     QUERIES[function.__name__] = lambda spark, folder: function(
-        ServiceHistory(star_fact(spark, folder))
+        ServiceHistory(_maintenance_fact(spark, folder))
     )
     return function
 

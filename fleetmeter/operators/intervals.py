@@ -6,10 +6,11 @@ or less the line's lowest value where there is no previous value. Further pairs
 of the same service add nothing, so its whole interval is its highest value less
 the value before it.
 
-A line may hold any share of the rows, so it is never sorted in one task. It is
-cut along its order into blocks: due day, product name, date and a range of
-2^BLOCK_BITS service numbers. Values are passed on inside a block first, then
-from block to block.
+A line may hold any share of the rows, so it is never sorted in one task. All
+services are sorted together, over as many tasks as there are partitions, and
+every task's share is a stretch: it has an even size however rows are spread over
+lines, and stretches follow each other in the order of services. Values are passed
+on inside a stretch first, then from one stretch of a line to the next.
 """
 
 from pyspark.sql import functions as F
@@ -18,32 +19,39 @@ from pyspark.sql import Window
 from fleetmeter.operators.maintenance import line_keys
 from fleetmeter.schema import ASSET
 
-BLOCK_BITS = 20
-BLOCK = ["due_day", "product_name", "date", "number_range"]
 NUMBER = "consume_id_good_consume"
+IN_LINE = ["due_day", "product_name", "date", NUMBER]
 
 
-def _block_keys(extra):
-    return [BLOCK[0], *line_keys(extra), *BLOCK[1:]]
+def in_stretches(services, extra=(), stretches=None):
+    """Services in order, with the number of their `stretch`.
 
-
-def _in_blocks(services):
-    return services.withColumn("number_range", F.shiftright(F.col(NUMBER), BLOCK_BITS))
+    The number is only fixed once the result is written: write it before use.
+    """
+    order = [*line_keys(extra), *IN_LINE]
+    if stretches is None:
+        ordered = services.repartitionByRange(*order)
+    else:
+        ordered = services.repartitionByRange(stretches, *order)
+    return ordered.withColumn("stretch", F.spark_partition_id())
 
 
 def _with_previous(services, extra):
-    """Closing value of the previous service in the block; `opens` marks the first."""
-    inside = Window.partitionBy(*_block_keys(extra)).orderBy(NUMBER)
-    return (
-        _in_blocks(services)
-        .withColumn("opens", F.row_number().over(inside) == 1)
-        .withColumn("previous", F.lag("closing_meter").over(inside))
-    )
+    """Closing value of the previous service of the line in the stretch.
+
+    `opens` and `closes` mark the first and the last.
+    """
+    inside = Window.partitionBy(*line_keys(extra), "stretch").orderBy(*IN_LINE)
+    return services.withColumns({
+        "opens": F.row_number().over(inside) == 1,
+        "closes": F.lead(F.lit(True)).over(inside).isNull(),
+        "previous": F.lag("closing_meter").over(inside),
+    })
 
 
-def _from_block_before(blocks, column, extra):
-    across = Window.partitionBy(*line_keys(extra)).orderBy(*BLOCK)
-    return F.lag(column).over(across)
+def _from_stretch_before(parts, column, extra):
+    """Value of the line's previous stretch; a line has one row per stretch here."""
+    return F.lag(column).over(Window.partitionBy(*line_keys(extra)).orderBy("stretch"))
 
 
 def _or_zero(column):
@@ -59,17 +67,17 @@ def line_statistics(services, lowest, extra=()):
     keys = line_keys(extra)
     meter = F.col("highest_meter")
     inner = ~F.col("opens") & meter.isNotNull()
-    blocks = _with_previous(services, extra).groupBy(*_block_keys(extra)).agg(
+    parts = _with_previous(services, extra).groupBy(*keys, "stretch").agg(
         F.sum(F.when(inner, meter - _or_zero("previous"))).alias("hours"),
         F.count_if(inner & F.col("previous").isNull()).alias("from_lowest"),
         F.max(F.when(F.col("opens"), meter)).alias("first_meter"),
-        F.max_by("closing_meter", NUMBER).alias("closing_meter"),
+        F.max(F.when(F.col("closes"), F.col("closing_meter"))).alias("closing_meter"),
         F.sum("pairs").alias("pairs"),
         F.sum("metered_pairs").alias("metered_pairs"),
     )
     first = F.col("first_meter")
     lines = (
-        blocks.withColumn("previous", _from_block_before(blocks, "closing_meter", extra))
+        parts.withColumn("previous", _from_stretch_before(parts, "closing_meter", extra))
         .groupBy(*keys)
         .agg(
             _or_zero(F.sum(_or_zero("hours") + _or_zero(first - _or_zero("previous")))).alias("hours"),
@@ -88,20 +96,18 @@ def line_statistics(services, lowest, extra=()):
     )
 
 
-def service_intervals(services, lowest, extra=()):
+def service_intervals(services, lowest, statistics, extra=()):
     """Every service with its interval, its line's mean interval and service count."""
     keys = line_keys(extra)
-    ends = _in_blocks(services).groupBy(*_block_keys(extra)).agg(
-        F.max_by("closing_meter", NUMBER).alias("end")
-    )
-    before = ends.withColumn("before", _from_block_before(ends, "end", extra)).drop("end")
+    linked = _with_previous(services, extra)
+    ends = linked.where("closes").select(*keys, "stretch", "closing_meter")
+    before = ends.withColumn("before", _from_stretch_before(ends, "closing_meter", extra))
     previous = F.when(F.col("opens"), F.col("before")).otherwise(F.col("previous"))
     return (
-        _with_previous(services, extra)
-        .join(before, _block_keys(extra))
+        linked.join(before.drop("closing_meter"), [*keys, "stretch"])
         .withColumn("previous", previous)
         .join(lowest, keys, "left")
-        .join(line_statistics(services, lowest, extra), keys)
+        .join(statistics, keys)
         .select(
             *keys, "product_name", "date", NUMBER, "due_day",
             (F.col("highest_meter") - F.coalesce("previous", "lowest_meter")).alias("serviced_when"),

@@ -21,19 +21,22 @@ class ServiceHistory:
     """Stages of the service status of one maintenance fact.
 
     `extra` names columns of the cost rows that split product lines further, such
-    as a subcategory; `costs` replaces the fact's own cost rows.
+    as a subcategory; `costs` replaces the fact's own cost rows. `stretches` sets
+    how many tasks sort the services, by default as many as their size asks for.
     """
 
-    def __init__(self, fact, costs=None, extra=()):
+    def __init__(self, fact, costs=None, extra=(), stretches=None):
         self.fact = fact
         self.costs = cost_rows(fact) if costs is None else costs
         self.extra = tuple(extra)
+        self.stretches = stretches
 
     @cached_property
     def services(self):
         """Matched services, written once: four branches of the report read them."""
         matched = maintenance.matched_services(self.fact, self.costs, self.extra)
-        return staged(matched, "services")
+        ordered = intervals.in_stretches(matched, self.extra, self.stretches)
+        return staged(ordered, "services")
 
     @cached_property
     def lowest_meters(self):
@@ -47,14 +50,20 @@ class ServiceHistory:
     def latest_services(self):
         return maintenance.latest_services(self.fact)
 
+    @cached_property
     def line_statistics(self):
-        return intervals.line_statistics(self.services, self.lowest_meters, self.extra)
+        """Written once, so that joins to it see its size and can split a hot line."""
+        return staged(
+            intervals.line_statistics(self.services, self.lowest_meters, self.extra), "statistics"
+        )
 
     def service_intervals(self):
-        return intervals.service_intervals(self.services, self.lowest_meters, self.extra)
+        return intervals.service_intervals(
+            self.services, self.lowest_meters, self.line_statistics, self.extra
+        )
 
     def mean_intervals(self):
-        return intervals.mean_intervals(self.services, self.line_statistics(), self.extra)
+        return intervals.mean_intervals(self.services, self.line_statistics, self.extra)
 
     def with_latest_reading(self):
         return status.with_latest_reading(

@@ -3,6 +3,8 @@
 import tempfile
 import uuid
 
+FILE_ROWS = 5_000_000
+
 _own_folder = None
 
 
@@ -28,13 +30,15 @@ def staging_path(spark, label):
     return f"{staging_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df, label):
+def staged(df, label, by=()):
     """`df` written to the staging folder as parquet, and the table read back.
 
     Lineage ends at the written table, so a lost executor re-reads files instead
-    of re-running joins, and each reader takes only the columns it needs.
+    of re-running joins, and each reader takes only the columns it needs. Files of
+    bounded size keep later scans spread; `by` names columns that split the table
+    into folders.
     """
     spark = df.sparkSession
     path = staging_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

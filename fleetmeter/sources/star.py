@@ -13,8 +13,19 @@ PRODUCTS = 25
 UNNAMED_PRODUCT = 24
 
 
+# Columns read from each table. A stated schema spares the look into the files that
+# inferring one costs, which is a job per table.
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_name string",
+}
+
+
 def _table(spark, folder, name):
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def on_assets(spark, folder, lines):
@@ -24,8 +35,8 @@ def on_assets(spark, folder, lines):
     join is a product, so a pre-joined pair of small tables would look too large
     to broadcast.
     """
-    supplier = _table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    nation = _table(spark, folder, "nation").select("n_nationkey", "n_name")
+    supplier = _table(spark, folder, "supplier")
+    nation = _table(spark, folder, "nation")
     return (
         lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetmeter.fixed_values import STATUSES
-from fleetmeter.operators import intervals, maintenance, paging, ranking
+from fleetmeter.operators import maintenance, paging, ranking
 from fleetmeter.operators.status import service_status
 from fleetmeter.plans import service_status as plan
 from fleetmeter.plans.service_status import ServiceHistory, status_report
@@ -55,7 +55,7 @@ def statistics(fact):
     return {
         (r["asset_category"], r["asset_code"], r["asset_name"], r["product_id"]):
             (r["avg_serviced_when"], r["service_count"])
-        for r in ServiceHistory(fact).line_statistics().collect()
+        for r in ServiceHistory(fact).line_statistics.collect()
     }
 
 
@@ -111,18 +111,19 @@ def rounded(rows):
     return Counter(tuple(round(v, 6) if isinstance(v, float) else v for v in row) for row in rows)
 
 
-@pytest.mark.parametrize("seed, bits", [(1, 20), (2, 1), (3, 2), (4, 0), (5, 1), (6, 20)])
-def test_report_equals_brute_force(maintenance_fact, monkeypatch, seed, bits):
-    """Also with blocks so narrow that values pass from block to block."""
-    monkeypatch.setattr(intervals, "BLOCK_BITS", bits)
+@pytest.mark.parametrize("seed, stretches", [(1, None), (2, 5), (3, 20), (4, 9), (5, 30), (6, 3)])
+def test_report_equals_brute_force(maintenance_fact, seed, stretches):
+    """Also with lines cut into so many stretches that values pass between them."""
     rows = random_rows(seed)
     expected, lines = brute_force.status_report(rows)
-    history = ServiceHistory(maintenance_fact(rows))
+    history = ServiceHistory(maintenance_fact(rows), stretches=stretches)
+    if stretches:
+        assert history.services.select("stretch").distinct().count() > 2
     assert rounded(history.report().collect()) == rounded(expected)
     keys = ["asset_category", "asset_code", "asset_name", "product_id"]
     found = {
         tuple(r[k] for k in keys): (r["avg_serviced_when"], r["service_count"])
-        for r in history.line_statistics().collect()
+        for r in history.line_statistics.collect()
     }
     assert found == lines
     totals = history.service_intervals().groupBy(*keys).agg(
