@@ -19,9 +19,7 @@ HEADLINE = [
     "trend_asset_day",
     "trend_asset_month",
     "trend_category_week",
-    "trend_category_year",
     "cost_vs_hours",
-    "hours_in_period_range",
     "kpi_assets",
     "category_distribution",
     "options_product",
@@ -31,7 +29,6 @@ HEADLINE = [
     "service_interval",
     "status_report",
     "top10_needed_service",
-    "status_page",
     "tfidf_terms",
 ]
 
@@ -45,7 +42,7 @@ def timed(spark, folder, name):
 def main():
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     with contextlib.redirect_stdout(sys.stderr):
         spark = build_session(
             "bench", f"local[{cpus}]", cpus,
