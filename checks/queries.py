@@ -369,7 +369,8 @@ def join_consume_assignment(fact):
 
 @query
 def service_events_matched(fact):
-    return maintenance.matched_services(fact)
+    read = maintenance.reading_days(maintenance.hour_readings(fact))
+    return maintenance.matched_services(shaping.cost_rows(fact), staged(read, "days"))
 
 
 @query

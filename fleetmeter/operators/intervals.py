@@ -59,7 +59,7 @@ def _or_zero(column):
 
 
 def line_statistics(services, lowest, extra=()):
-    """Mean interval, rounded half to even, and number of services per line.
+    """Mean interval, rounded half to even, number of services and lowest value per line.
 
     Intervals are summed as hours from the previous value, plus a count of those
     to be taken from the line's lowest value, which is known only at the end.
@@ -92,11 +92,11 @@ def line_statistics(services, lowest, extra=()):
     total = F.col("hours") - F.col("from_lowest") * _or_zero("lowest_meter")
     mean = F.when(F.col("metered_pairs") > 0, total / F.col("metered_pairs"))
     return lines.join(lowest, keys, "left").select(
-        *keys, F.bround(mean, 0).alias("avg_serviced_when"), "service_count"
+        *keys, F.bround(mean, 0).alias("avg_serviced_when"), "service_count", "lowest_meter"
     )
 
 
-def service_intervals(services, lowest, statistics, extra=()):
+def service_intervals(services, statistics, extra=()):
     """Every service with its interval, its line's mean interval and service count."""
     keys = line_keys(extra)
     linked = _with_previous(services, extra)
@@ -106,7 +106,6 @@ def service_intervals(services, lowest, statistics, extra=()):
     return (
         linked.join(before.drop("closing_meter"), [*keys, "stretch"])
         .withColumn("previous", previous)
-        .join(lowest, keys, "left")
         .join(statistics, keys)
         .select(
             *keys, "product_name", "date", NUMBER, "due_day",

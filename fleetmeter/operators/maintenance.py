@@ -13,7 +13,7 @@ from fleetmeter.functions.dates import day_of
 from fleetmeter.functions.numbers import total_or_zero, total_price
 from fleetmeter.operators.predicates import complete
 from fleetmeter.schema import ASSET
-from fleetmeter.sources.shaping import cost_rows, hour_rows
+from fleetmeter.sources.shaping import hour_rows
 
 
 def fill_category(rows):
@@ -102,19 +102,17 @@ def consumption_services(costs, extra=(), how="left"):
     return used.join(days, same, how)
 
 
-def matched_services(fact, costs=None, extra=()):
+def matched_services(costs, read, extra=()):
     """Services due on a day on which the asset was read.
 
-    An equality join on asset and day. Pairing an asset's services with all its
-    readings first would be quadratic per asset.
+    An equality join of consumption with `read`, the reading days, on asset and day.
+    Pairing an asset's services with all its readings would be quadratic per asset.
 
     `pairs` counts the (record, reading) pairs a row stands for, `metered_pairs`
     those with a meter value. The service after this one is measured from
     `closing_meter`, which is NULL when a record without a value comes last.
     """
-    costs = cost_rows(fact) if costs is None else costs
     due = consumption_services(costs, extra, "inner")
-    read = reading_days(hour_readings(fact))
     closing = F.when(F.col("metered") == F.col("events"), F.col("highest_meter"))
     return due.join(read, [*ASSET, "due_day"]).select(
         *consumption_keys(extra),
@@ -126,15 +124,19 @@ def matched_services(fact, costs=None, extra=()):
     )
 
 
-def lowest_meters(costs, extra=()):
-    """Lowest meter value per product line over all its services, read or not.
-
-    The minimum per service number is taken first, so the join adds no rows.
-    """
+def lowest_by_number(costs):
+    """Lowest meter value per service number."""
     numbered = complete(costs, ["consume_id_assignment", "fix_hm_record"])
-    lowest = numbered.groupBy("consume_id_assignment").agg(
+    return numbered.groupBy("consume_id_assignment").agg(
         F.min("fix_hm_record").alias("lowest_meter")
     )
+
+
+def lowest_meters(costs, lowest, extra=()):
+    """Lowest meter value per product line over all its services, read or not.
+
+    `lowest` has one row per service number, so the join adds no rows.
+    """
     used = named_consumption(costs, extra).select(*line_keys(extra), "consume_id_good_consume")
     same = used["consume_id_good_consume"] == lowest["consume_id_assignment"]
     return used.join(lowest, same).groupBy(*line_keys(extra)).agg(

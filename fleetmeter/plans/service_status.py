@@ -20,6 +20,10 @@ PAGE_ORDER = ascending(
 class ServiceHistory:
     """Stages of the service status of one maintenance fact.
 
+    A table that may join a hot key is written first. Adaptive execution splits a hot
+    key only where both sides of the join come straight from a shuffle, and a grouped
+    table that still has its grouping's partitioning is not shuffled again.
+
     `extra` names columns of the cost rows that split product lines further, such
     as a subcategory; `costs` replaces the fact's own cost rows. `stretches` sets
     how many tasks sort the services, by default as many as their size asks for.
@@ -33,33 +37,34 @@ class ServiceHistory:
 
     @cached_property
     def services(self):
-        """Matched services, written once: four branches of the report read them."""
-        matched = maintenance.matched_services(self.fact, self.costs, self.extra)
+        """Matched services, written once: several branches of the report read them."""
+        read = maintenance.reading_days(maintenance.hour_readings(self.fact))
+        matched = maintenance.matched_services(self.costs, staged(read, "days"), self.extra)
         ordered = intervals.in_stretches(matched, self.extra, self.stretches)
         return staged(ordered, "services")
 
     @cached_property
     def lowest_meters(self):
-        return maintenance.lowest_meters(self.costs, self.extra)
+        lowest = staged(maintenance.lowest_by_number(self.costs), "lowest")
+        return maintenance.lowest_meters(self.costs, lowest, self.extra)
 
     @cached_property
     def latest_readings(self):
-        return maintenance.latest_readings(self.fact)
+        return staged(maintenance.latest_readings(self.fact), "readings")
 
     @cached_property
     def latest_services(self):
-        return maintenance.latest_services(self.fact)
+        return staged(maintenance.latest_services(self.fact), "latest")
 
     @cached_property
     def line_statistics(self):
-        """Written once, so that joins to it see its size and can split a hot line."""
         return staged(
             intervals.line_statistics(self.services, self.lowest_meters, self.extra), "statistics"
         )
 
     def service_intervals(self):
         return intervals.service_intervals(
-            self.services, self.lowest_meters, self.line_statistics, self.extra
+            self.services, self.line_statistics, self.extra
         )
 
     def mean_intervals(self):
