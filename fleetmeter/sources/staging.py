@@ -1,28 +1,22 @@
 """Writing an intermediate result once, where several branches of a plan read it."""
 
-import tempfile
 import uuid
 
 FILE_ROWS = 5_000_000
 
-_own_folder = None
-
 
 def staging_folder(spark):
-    """The shared folder of the session, `spark.checkpoint.dir`.
+    """The folder for written tables that the session states.
 
-    Only a single-machine session may fall back to a folder of its own: on a
-    cluster, executors do not see each other's disks.
+    `spark.checkpoint.dir`, or where that is unset the place of Spark's own tables,
+    `spark.sql.warehouse.dir`. On a cluster both are shared by all executors.
     """
-    global _own_folder
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="fleetmeter-")
-    return _own_folder
+    return shared.rstrip("/")
 
 
 def staging_path(spark, label):

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import difference, oracle_connection
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 from tests.conftest import FOLDER
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,8 @@ def test_query(spark, connection, name):
 
 
 def test_oracle_names_are_queries():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
