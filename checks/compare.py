@@ -25,7 +25,7 @@ def _canonical(columns, rows):
 
 DUCKDB_KINDS = {
     "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
-    "TIMESTAMP": "timestamp_ntz", "DATE": "date", "HUGEINT": "hugeint",
+    "TIMESTAMP": "timestamp_ntz", "DATE": "date", "HUGEINT": "hugeint", "BOOLEAN": "boolean",
 }
 
 
