@@ -1,3 +1,144 @@
 """SQL of the operators' queries: name -> text for DuckDB."""
 
-ORACLE = {}
+from fleetmeter.llm import license_scan, line_dedup
+from fleetmeter.llm.url_filters import HOST_RULES, OWN_BLOCKED
+
+_LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(column):
+    return f"regexp_extract_all({_LOWERED.format(f"coalesce({column}, '')")}, '{_WORD}')"
+
+
+def _listed(words):
+    return "[" + ", ".join(f"'{word}'" for word in words) + "]"
+
+
+def _license_sql():
+    """Every start of every template whose key phrases stand in their places."""
+    found = []
+    for template in license_scan.templates():
+        tests = " AND ".join(
+            f"w[s + {offset + 1}:s + {offset + len(part)}] = {_listed(part)}"
+            for offset, part in template.phrases
+        )
+        size = len(template.words)
+        same = " + ".join(
+            f"CASE WHEN w[s + {i + 1}] = '{word}' THEN 1 ELSE 0 END" for i, word in enumerate(template.words)
+        )
+        found.append(
+            f"list_transform(list_filter(CASE WHEN contains(joined, ' {' '.join(template.phrases[0][1])} ') "
+            f"THEN range(0, len(w)) ELSE [] END, lambda s: {tests}), lambda s: "
+            f"{{'label': '{template.label}', 'base': {str(template.base).lower()}, 'start': s, "
+            f"'score': ({same}) / {size}.0::DOUBLE}})"
+        )
+    return f"""
+WITH words AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS joined
+               FROM (SELECT doc_id, {_words("text")} AS w FROM documents)),
+matched AS (SELECT doc_id, len(w) AS n, flatten([{", ".join(found)}]) AS m FROM words),
+parted AS (SELECT *, list_filter(m, lambda x: x.base) AS b FROM matched)
+SELECT doc_id, n::BIGINT AS n_words, len(b)::BIGINT AS n_base,
+       list_min(list_transform(b, lambda x: x.start))::BIGINT AS first_word,
+       list_max(list_transform(b, lambda x: x.start))::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(list_distinct(list_transform(b, lambda x: x.label))), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_transform(m, lambda x: x.label))), ','), '') AS labels,
+       coalesce(list_max(list_transform(m, lambda x: x.score)), 0.0)::DOUBLE AS score
+FROM parted
+"""
+
+
+_DECONTAMINATION = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words("text")} AS w FROM benchmark
+               WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item, w[i:i + 9] AS win
+            FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
+sizes AS (SELECT DISTINCT len(win) AS size FROM windows),
+places AS (SELECT r, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size),
+hits AS (SELECT DISTINCT p.r, p.i, p.size, v.item
+         FROM (SELECT places.r, i, size, w[i:i + size - 1] AS win FROM places JOIN docs USING (r)) p
+         JOIN windows v ON p.win = v.win),
+hit_words AS (SELECT r, count(DISTINCT k) AS n_hit
+              FROM (SELECT r, unnest(range(i, i + size)) AS k FROM hits) GROUP BY r),
+hit_items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined
+              FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+
+_LINE_DEDUP = rf"""
+WITH lines AS (
+  SELECT doc_id, text, line, regexp_extract_all(content, '.*?[.!?] |.+$') AS sentences, content
+  FROM (SELECT doc_id, text, unnest(range(0, len(parts))) AS line, unnest(parts) AS content
+        FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
+closed AS (  -- a sentence end at the end of a line opens an empty sentence there
+  SELECT * EXCLUDE (sentences),
+         CASE WHEN content = '' THEN [''] WHEN regexp_matches(content, '[.!?] $') THEN list_append(sentences, '')
+              ELSE sentences END AS sentences FROM lines),
+ends AS (SELECT doc_id, max(line) AS last_line FROM closed GROUP BY doc_id),
+units AS (
+  SELECT doc_id, line, 0 AS part, content AS unit, len(sentences) AS n FROM closed
+  UNION ALL
+  SELECT doc_id, line, unnest(range(1, len(sentences) + 1)), unnest(sentences), len(sentences)
+  FROM closed WHERE len(sentences) > 1),
+named AS (SELECT doc_id, line, part, n, regexp_replace(trim(unit), '[^\s0-9]*[0-9]\S*', '{line_dedup.FIELD}', 'g') AS template
+          FROM units),
+long AS (SELECT * FROM named WHERE length(template) - length(replace(template, ' ', '')) + 1
+         >= CASE WHEN part = 0 THEN {line_dedup.LINE_TOKENS} ELSE {line_dedup.SENTENCE_TOKENS} END),
+repeated AS (SELECT template, min(doc_id) AS keeper FROM long GROUP BY template HAVING min(doc_id) <> max(doc_id)),
+dropped AS (SELECT doc_id, line, part FROM long JOIN repeated USING (template) WHERE doc_id <> keeper),
+sentences AS (
+  SELECT doc_id, line, unnest(range(1, len(sentences) + 1)) AS part, unnest(sentences) AS unit,
+         len(sentences) AS n FROM closed),
+marked AS (
+  SELECT s.*, line < last_line AND part = n AS breaks,
+         EXISTS (SELECT 1 FROM dropped d WHERE d.doc_id = s.doc_id AND d.line = s.line
+                 AND (d.part = 0 OR d.part = s.part)) AS gone
+  FROM sentences s JOIN ends USING (doc_id)),
+texts AS (
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_dropped,
+         coalesce(string_agg(unit || CASE WHEN breaks THEN chr(10) ELSE '' END, '' ORDER BY line, part)
+                  FILTER (NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_dropped, 0)::BIGINT AS n_dropped,
+       length(kept)::BIGINT AS kept_chars, sha256(kept) AS kept_sha256
+FROM documents d LEFT JOIN texts USING (doc_id)
+"""
+
+
+def _url_sql():
+    ranked = sorted(HOST_RULES, key=lambda r: (-len(r[1]), r[1]))
+    rules = []
+    for verdict, rule in ranked:
+        host, _, path = rule.partition("/")
+        rules.append((
+            f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')", rule, verdict))
+    chosen = " ".join(f"WHEN {test} THEN '{rule}'" for test, rule, _ in rules)
+    verdicts = " ".join(f"WHEN '{rule}' THEN '{verdict}'" for _, rule, verdict in rules)
+    own = " OR ".join(
+        "regexp_full_match('.' || host || path, '(?s)" + glob.replace(".", "[.]").replace(
+            "**", "@").replace("*", "[^/]*").replace("@", ".*") + "')" for glob in OWN_BLOCKED
+    )
+    lowered = _LOWERED.format("regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*')")
+    return f"""
+WITH hosts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN {lowered} ELSE '' END AS host,
+         CASE WHEN strpos(url, '://') > 0 THEN
+           regexp_extract(substr(url, strpos(url, '://') + 3), '(?s)^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+ruled AS (SELECT *, CASE {chosen} END AS rule FROM hosts)
+SELECT page_id, host, path, rule,
+       CASE rule {verdicts} ELSE CASE WHEN {own} THEN 'block' ELSE 'allow' END END AS verdict
+FROM ruled
+"""
+
+
+ORACLE = {
+    "op1_license_scan": _license_sql(),
+    "op3_decontamination": _DECONTAMINATION,
+    "op4_line_dedup": _LINE_DEDUP,
+    "op6_url_filters": _url_sql(),
+}

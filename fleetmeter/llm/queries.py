@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleetmeter.llm import bpe, decontamination, quality, toxicity, url_filters
+from fleetmeter.llm import (
+    bpe, decontamination, license_scan, line_dedup, quality, toxicity, url_filters,
+)
 
 QUERIES = {}
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +31,22 @@ def _score_columns(id_column, parts, held_out, score, threshold):
     ]
 
 
+@query
+def op1_license_scan(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = license_scan.scanned(docs)
+    base = F.filter("matches", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        license_scan.labelled(base).alias("base_labels"),
+        license_scan.labelled(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 @query
 def op2_toxicity(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -51,6 +69,17 @@ def op3_decontamination(spark, folder):
     )
 
 
+@query
+def op4_line_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = line_dedup.deduplicated(docs)
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_units", "n_dropped",
+        F.length("kept_text").cast("long").alias("kept_chars"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op5_bpe(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
