@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetmeter.llm import (
-    bpe, decontamination, license_scan, line_dedup, quality, toxicity, url_filters,
+    bpe, decontamination, license_scan, line_dedup, ngram_join, quality, toxicity, url_filters,
 )
 
 QUERIES = {}
@@ -94,6 +94,13 @@ def op6_url_filters(spark, folder):
     return found.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+@query
+def op8_ngram_join(spark, folder):
+    found = ngram_join.joined(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"),
+                        F.col("component").alias("component_id"))
+
+
 @query
 def op10_quality(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
