@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetmeter.llm import (
-    bpe, decontamination, license_scan, line_dedup, ngram_join, quality, toxicity, url_filters,
+    bpe, decontamination, license_scan, line_dedup, neighbours, ngram_join, quality, toxicity, url_filters,
 )
 
 QUERIES = {}
@@ -94,6 +94,12 @@ def op6_url_filters(spark, folder):
     return found.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+@query
+def op7_neighbours(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.neighbours(vectors, F.col("vec_id") % 20 == 0)
+
+
 @query
 def op8_ngram_join(spark, folder):
     found = ngram_join.joined(table(spark, folder, "documents").select("doc_id", "text"))
