@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetmeter.llm import (
-    bpe, decontamination, license_scan, line_dedup, neighbours, ngram_join, quality, toxicity, url_filters,
+    bpe, decontamination, license_scan, line_dedup, neighbours, ngram_join, personal_data, quality, toxicity, url_filters,
 )
 
 QUERIES = {}
@@ -107,6 +107,20 @@ def op8_ngram_join(spark, folder):
                         F.col("component").alias("component_id"))
 
 
+@query
+def op9_personal_data(spark, folder):
+    found = personal_data.found(table(spark, folder, "documents").select("doc_id", "text"))
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), *[number(kind) for kind in personal_data.BASE_KINDS],
+        F.sha2(personal_data.written(F.col("base")), 256).alias("base_sha256"),
+        personal_data.written(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op10_quality(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
