@@ -21,6 +21,7 @@ import re
 import unicodedata
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
@@ -253,7 +254,7 @@ def encoded(docs, path, text_column="text", with_ids=True):
                 written = " ".join([e[0] for e in entries])
                 decoded = " ".join([e[1] for e in entries])
                 counts.append(written.count(" ") + 1 if written else 0)
-                lists.append([int(i) for i in written.split()] if with_ids else None)
+                lists.append(np.array(written.split(), np.int32) if with_ids else None)
                 id_digests.append(hashlib.sha256(written.encode()).hexdigest())
                 text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
