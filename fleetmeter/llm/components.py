@@ -18,13 +18,23 @@ def connected(edges):
     labels = both.groupBy("a").agg(F.min("b").alias("least"))
     labels = staged(labels.select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "graph-labels")
     while True:
+        named = labels.select(F.col("node").alias("named"), F.col("component").alias("further"))
         told = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("told"))
-        nearer = labels.join(told, labels["node"] == told["a"], "left").select(
-            "node", F.col("component").alias("old"), F.least("component", "told").alias("near"))
-        nearer = staged(nearer, "graph-near")
-        jump = nearer.select(F.col("node").alias("target"), F.col("near").alias("further"))
-        after = staged(nearer.join(jump, nearer["near"] == jump["target"], "left").select(
-            "node", "old", F.least("near", "further").alias("component")), "graph-labels")
-        if after.where("old <> component").isEmpty():
-            return after.select("node", "component")
+        after = labels.join(told, labels["node"] == told["a"], "left").join(
+            named, labels["component"] == F.col("named"), "left"
+        ).select("node", F.col("component").alias("old"), F.least("component", "told", "further").alias("component"))
+        after = staged(after, "graph-labels")
         labels = after.select("node", "component")
+        if after.where("old <> component").isEmpty():
+            return labels
+
+
+def merged(components, links):
+    """`components` (node, component) after links between nodes of different ones."""
+    lower = components.select(F.col("node").alias("lower"), F.col("component").alias("a"))
+    upper = components.select(F.col("node").alias("upper"), F.col("component").alias("b"))
+    between = links.join(lower, "lower").join(upper, "upper").where("a <> b").select(
+        F.least("a", "b").alias("lower"), F.greatest("a", "b").alias("upper")).distinct()
+    renamed = connected(between).select(F.col("node").alias("component"), F.col("component").alias("new"))
+    return staged(components.join(renamed, "component", "left").select(
+        "node", F.coalesce("new", "component").alias("component")), "graph-components")

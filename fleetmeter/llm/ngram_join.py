@@ -14,10 +14,12 @@ adds its prefix, the shingles of least hash of which similar sets always share o
 each as a signature.
 
 Copies are one node: the hash of the set. A signature of up to SMALL nodes gives all
-its pairs. A signature of more nodes gives pairs with one pivot each round, between
-nodes not yet connected, and only for nodes that have more such signatures than spare
-parts: any other node shares a rarer signature with each of its partners. What then is
-left in several components is compared in full. Pairs are verified on the sets.
+its pairs. A node with no more signatures of larger groups than it has spare parts
+shares a rarer signature with each of its partners; pairs of the other nodes are
+found by their prefixes, taken in an order that puts frequent shingles last. What of
+those still meets in large groups gives pairs with one pivot each round, between nodes
+not yet connected, and what is then left in several components is compared in full.
+Pairs are verified on the sets.
 
 Defined cases: NULL and empty texts and texts without words have an empty set and are
 linked with nothing; rows that share an id are one document with all their links;
@@ -30,14 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetmeter.llm.batches import SOLID_BYTES, LOWER, mixed, text_chunks, word_bounds, word_hashes
-from fleetmeter.llm.components import connected
+from fleetmeter.llm.components import connected, merged
 from fleetmeter.sources.staging import staged
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction, so that the test is exact.
 SIMILAR, WHOLE = 80, 100
 SMALL = 8
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 3
+#: Pivots that a node is held against in a round.
+TRIES = 8
 
 _TERMS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93,
                    0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -96,26 +100,42 @@ def band_numbers(size):
     return [own, own + 1] if size * WHOLE // SIMILAR > _BANDS[own] else [own]
 
 
+def _places(own, band, parts):
+    """The part of each shingle."""
+    seed = np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    place = ((mixed(own ^ seed) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return place.astype(np.int64), seed
+
+
+def prefix_size(count):
+    """Similar sets share one of so many shingles of each, in any common order."""
+    return count - -(-count * SIMILAR // WHOLE) + 1
+
+
+def spare_parts(own):
+    """Spare parts of a set that its empty parts leave over."""
+    left = 1 << 30
+    for band in band_numbers(len(own)):
+        parts, spare = parts_of(band)
+        empty = parts - np.count_nonzero(np.bincount(_places(own, band, parts)[0], minlength=parts))
+        left = min(left, max(0, spare - empty))
+    return left
+
+
 def signatures(own):
-    """(signatures, spare parts left over by empty parts) of a set."""
-    found, left = [], 1 << 30
+    found = []
     for band in band_numbers(len(own)):
         parts, spare = parts_of(band)
-        seed = np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        place = ((mixed(own ^ seed) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        place = place.astype(np.int64)
+        place, seed = _places(own, band, parts)
         order = np.argsort(place, kind="stable")
         place, members = place[order], mixed(own[order] + seed)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         sums = np.add.reduceat(members, first)
         found.append(mixed(sums + place[first].astype(np.uint64) * _TERMS[0] + seed))
-        empty = parts - len(first)
-        if empty > spare:
+        if parts - len(first) > spare:
             # Sets like this one share one of the shingles of least hash.
-            prefix = len(own) - -(-len(own) * SIMILAR // WHOLE) + 1
-            found.append(mixed(own[:prefix] ^ _TERMS[1]))
-        left = min(left, max(0, spare - empty))
-    return np.unique(np.concatenate(found)), left
+            found.append(mixed(own[:prefix_size(len(own))] ^ _TERMS[1]))
+    return np.unique(np.concatenate(found))
 
 
 def _utf8(docs, id_column, text_column):
@@ -133,7 +153,7 @@ def digests(docs, id_column="doc_id", text_column="text"):
                 for own in shingle_sets(data, starts):
                     sizes.append(len(own))
                     nodes.append(set_hash(own) if len(own) else None)
-                    spares.append(signatures(own)[1] if len(own) else None)
+                    spares.append(spare_parts(own) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.array(spares, pa.int64())], names=["id", "size", "node", "spare"])
@@ -163,7 +183,7 @@ def node_signatures(docs, id_column="doc_id", text_column="text"):
                     if len(seen) >= _REMEMBERED:
                         seen.clear()
                     seen.add(node)
-                    signs = signatures(own)[0]
+                    signs = signatures(own)
                     all_signs.append(signs)
                     all_nodes.append(np.full(len(signs), node))
                 if all_signs:
@@ -324,31 +344,89 @@ def _ordered(a, b):
     return F.least(a, b).alias("lower"), F.greatest(a, b).alias("upper")
 
 
+#: Counters of shingles, by hash: the bound of what says which are frequent.
+_COUNTERS = 1 << 21
+
+
+def _counter_of(own):
+    return (mixed(own ^ _TERMS[2]) & np.uint64(_COUNTERS - 1)).astype(np.int64)
+
+
+def prefix_signatures(sets):
+    """(signature, node) of each set's prefix, shingles on full counters last.
+
+    Any order that all sets share gives all pairs; one that puts frequent shingles
+    last gives small groups. The counters cover all sets given and have a fixed size.
+    """
+
+    def count(batches):
+        total = np.zeros(_COUNTERS, np.int32)
+        for batch in batches:
+            for own in batch.column(1):
+                total[np.unique(_counter_of(np.frombuffer(own.as_buffer(), np.uint64)))] += 1
+        at = np.flatnonzero(total)
+        for begin in range(0, len(at), 100_000):
+            some = at[begin:begin + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))],
+                                             names=["counter", "sets"])
+
+    counted = sets.mapInArrow(count, "counter bigint, sets bigint").groupBy("counter").agg(F.sum("sets").alias("sets"))
+    full = np.zeros(_COUNTERS, bool)
+    full[counted.where(F.col("sets") > SMALL).select("counter").toPandas()["counter"].to_numpy(np.int64)] = True
+    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(full))
+
+    def sign(batches):
+        frequent = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            nodes, signs = [], []
+            for node, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(own.as_buffer(), np.uint64)
+                late = frequent[_counter_of(own)]
+                prefix = np.concatenate([own[~late], own[late]])[:prefix_size(len(own))]
+                signs.append(mixed(prefix ^ _TERMS[3]))
+                nodes.append(np.full(len(prefix), node, np.int64))
+            if nodes:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(signs).astype(np.int64)), pa.array(np.concatenate(nodes))],
+                    names=["signature", "node"])
+
+    return sets.mapInArrow(sign, "signature bigint, node bigint")
+
+
+def _met_often(found):
+    """(signature, node) of the groups of more than SMALL nodes."""
+    hot = found.where("signature IS NOT NULL")
+    return hot.select("signature", F.col("upper").alias("node")).unionByName(
+        hot.select("signature", F.col("lower").alias("node"))).distinct()
+
+
+def _close(found, sets):
+    """Links among the pairs of small groups."""
+    pairs = found.where("signature IS NULL").select("lower", "upper").distinct()
+    return staged(verified(pairs, sets), "join-links")
+
+
 def linked_components(docs, digest, id_column="doc_id", text_column="text"):
-    """(node, component): components of the similarity graph with a link, by smallest node."""
+    """(node, component) of the nodes that share a signature, by the smallest node reached."""
     found = staged(candidate_pairs(node_signatures(docs, id_column, text_column)), "join-candidates")
     holders = digest.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(
-        F.min("id").alias("id"), F.first("spare").alias("spare"))
+        F.min("id").alias("id"), F.min("spare").alias("spare"))
     met = found.select(F.explode(F.array("lower", "upper")).alias("node")).distinct()
     wanted = met.join(holders, "node").select("id", "node")
     sets = staged(node_sets(docs, wanted, id_column, text_column).dropDuplicates(["node"]), "join-sets")
-    pairs = found.where("signature IS NULL").select("lower", "upper").distinct()
-    links = staged(verified(pairs, sets), "join-links")
-
-    # Nodes of large groups, by signature, whose partners may share no rarer signature.
-    hot = found.where("signature IS NOT NULL")
-    members = hot.select("signature", F.col("upper").alias("node")).unionByName(
-        hot.select("signature", F.col("lower").alias("node"))).distinct()
-    often = members.groupBy("node").agg(F.count("*").alias("hot")).join(
+    links = _close(found, sets)
+    # Nodes whose partners may share no rarer signature.
+    often = _met_often(found).groupBy("node").agg(F.count("*").alias("hot")).join(
         holders.select("node", "spare"), "node").where("hot > spare").select("node")
-    members = staged(members.join(often, "node").select("signature", "node"), "join-hot")
-    components = connected(links)
+    again = staged(candidate_pairs(prefix_signatures(
+        staged(sets.join(often, "node", "left_semi"), "join-often"))), "join-candidates")
+    links = links.unionByName(_close(again, sets))
+    members = _met_often(again)
+    nodes = sets.select("node", F.col("node").alias("component"))
+    components = merged(nodes, links)
     for number in range(PIVOT_ROUNDS + 1):
-        if members.isEmpty():
-            break
-        known = members.join(components, "node", "left").select(
-            "signature", "node", F.coalesce("component", "node").alias("component"))
-        known = staged(known, "join-known")
+        # Signatures whose nodes lie in several components, and their nodes.
+        known = staged(members.join(components, "node"), "join-known")
         # The pivot of a signature changes every round.
         turn = F.xxhash64("node", "signature", F.lit(number))
         split = known.groupBy("signature").agg(
@@ -356,21 +434,23 @@ def linked_components(docs, digest, id_column="doc_id", text_column="text"):
             F.min(F.struct(turn.alias("turn"), F.col("node"), F.col("component"))).alias("pivot"))
         split = staged(split.where("low <> high").select(
             "signature", F.col("pivot.node").alias("pivot"), F.col("pivot.component").alias("pivot_component")), "join-split")
-        if split.isEmpty():
+        open_members = staged(known.join(split, "signature"), "join-open")
+        if open_members.isEmpty():
             break
-        open_members = known.join(split, "signature")
         if number < PIVOT_ROUNDS:
-            # One pivot for each node: other signatures have their turn later.
-            tries = open_members.where("component <> pivot_component").groupBy("node").agg(
-                F.min(F.struct(F.xxhash64("signature", F.lit(number)), F.col("pivot"))).alias("chosen"))
+            # A few pivots for each node: other signatures have their turn later.
+            turn = F.xxhash64("signature", F.lit(number))
+            tries = open_members.where("component <> pivot_component").groupBy(
+                "node", F.pmod(turn, F.lit(TRIES))
+            ).agg(F.min(F.struct(turn, F.col("pivot"))).alias("chosen"))
             tries = tries.select(*_ordered(F.col("node"), F.col("chosen.pivot")))
         else:
             left = open_members.select("signature", F.col("node").alias("a"), F.col("component").alias("one"))
             right = open_members.select("signature", F.col("node").alias("b"), F.col("component").alias("other"))
             tries = left.join(right, "signature").where("one < other").select(*_ordered(F.col("a"), F.col("b")))
         new = staged(verified(tries.distinct(), sets), "join-links")
-        links = links.unionByName(new)
-        components = connected(links)
+        if not new.isEmpty():
+            components = merged(components, new)
         members = open_members.select("signature", "node")
     return components
 
