@@ -149,8 +149,8 @@ def decontaminated(docs, benchmark, id_column="doc_id", text_column="text", item
     for block in range(blocks):
         in_block = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
         owned = {}
-        for window, item in in_block.toLocalIterator():
-            owned.setdefault(window, []).append(item)
+        for row in in_block.toLocalIterator():
+            owned.setdefault(row["window"], []).append(row["item"])
         rows = rows.mapInArrow(_block_scanner(spark.sparkContext.broadcast(owned)), rows.schema)
         if block < blocks - 1:
             rows = staged(rows, "decontamination")
