@@ -65,7 +65,23 @@ def _occurrences(text, part):
 
 
 def tokens(unit):
-    return F.length(unit) - F.length(_replaced(unit, " ", "")) + 1
+    return F.octet_length(unit) - F.octet_length(_replaced(unit, " ", "")) + 1
+
+
+def tree_places(sentences):
+    """Structs (tokens, leaf_a, leaf_b) of an array of sentences: where each falls in the tree.
+
+    The template's place in its leaf is a pair of 64-bit hashes, so that rows are small.
+    """
+    trimmed = F.transform(sentences, lambda s: F.btrim(s, F.lit(" \n")))
+    templates = F.transform(trimmed, generalised)
+    counted = F.transform(templates, lambda t: F.struct(
+        F.when(t == "", 0).otherwise(tokens(t)).alias("tokens"), t.alias("template")))
+    return F.transform(counted, lambda c: F.struct(
+        c["tokens"].alias("tokens"),
+        F.xxhash64(c["tokens"], F.substring_index(c["template"], " ", LEADING_TOKENS), c["template"]).alias("leaf_a"),
+        F.xxhash64(c["template"], c["tokens"]).alias("leaf_b"),
+    ))
 
 
 def _document(id_column):
@@ -73,30 +89,24 @@ def _document(id_column):
 
 
 def units(docs, id_column, text_column):
-    """One row for each unit: document, text hash, line, part (0: the line), parts, leaf and template.
+    """One row for each unit: document, text hash, line, part (0: the line) and leaf.
 
-    The template's place in its leaf is a pair of 64-bit hashes, so that rows are small.
+    A line of several sentences falls where its sentences' templates put it.
     """
     lines = docs.select(
         _document(id_column).alias("document"), F.xxhash64(text_column).alias("text_hash"),
         F.posexplode(F.split(marked(F.col(text_column)), _LINE)).alias("line", "content"),
     )
-    sentences = F.split("content", _SENTENCE)
-    whole = F.array(_replaced(F.col("content"), _SENTENCE, ""))
-    parts = F.when(F.contains("content", F.lit(_SENTENCE)), F.concat(whole, sentences)).otherwise(whole)
-    exploded = lines.select("document", "text_hash", "line", F.posexplode(parts).alias("part", "unit"))
-    trimmed = exploded.select("document", "text_hash", "line", "part", F.expr("trim(BOTH ' \n' FROM unit)").alias("unit"))
-    least = F.when(F.col("part") == 0, LINE_TOKENS).otherwise(SENTENCE_TOKENS)
-    long = trimmed.where((F.length("unit") > 0) & (tokens(F.col("unit")) >= least))
-    # Tokens with a digit stay one token each, so the number is that of the trimmed unit.
-    named = long.select("document", "text_hash", "line", "part", tokens(F.col("unit")).alias("tokens"),
-                        generalised(F.col("unit")).alias("template"))
-    leading = F.substring_index("template", " ", LEADING_TOKENS)
-    return named.select(
-        "document", "text_hash", "line", "part",
-        F.xxhash64("tokens", leading, "template").alias("leaf_a"),
-        F.xxhash64("template", "tokens").alias("leaf_b"),
+    placed = lines.select("document", "text_hash", "line", tree_places(F.split("content", _SENTENCE)).alias("places"))
+    whole = F.struct(
+        F.aggregate("places", F.lit(0), lambda total, p: total + p["tokens"]).alias("tokens"),
+        F.xxhash64("places", F.lit(0)).alias("leaf_a"), F.xxhash64(F.lit(1), "places").alias("leaf_b"),
     )
+    parts = F.when(F.size("places") > 1, F.concat(F.array(whole), F.col("places"))).otherwise(F.col("places"))
+    exploded = placed.select("document", "text_hash", "line", F.posexplode(parts).alias("part", "place"))
+    least = F.when(F.col("part") == 0, LINE_TOKENS).otherwise(SENTENCE_TOKENS)
+    return exploded.where(F.col("place.tokens") >= least).select(
+        "document", "text_hash", "line", "part", "place.leaf_a", "place.leaf_b")
 
 
 def recurring(all_units):
@@ -113,20 +123,19 @@ _CODE = 1 << 32
 def deduplicated(docs, id_column="doc_id", text_column="text"):
     """(row, kept_text, n_units, n_dropped): every row, and its text without dropped units.
 
-    `n_units` are the sentences of the text, `n_dropped` those dropped. The recurring
-    templates are written first, so that a template in a third of all documents can
+    `n_units` are the sentences of the text, `n_dropped` those dropped. The units, hashes
+    only, are written once; so are the recurring templates, so that a template in a third of all documents can
     be split between tasks when the units meet it.
     """
-    all_units = units(docs, id_column, text_column)
+    all_units = staged(units(docs, id_column, text_column), "line-units")
     repeated = staged(recurring(all_units), "line-templates")
     dropped = all_units.join(repeated, ["leaf_a", "leaf_b"]).where("document <> keeper")
     codes = dropped.select("document", "text_hash", (F.col("line") * F.lit(_CODE) + F.col("part")).alias("code"))
     marks = codes.groupBy("document", "text_hash").agg(F.collect_set("code").alias("codes"))
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(text_column).alias("text"),
-        _document(id_column).alias("document"), F.xxhash64(text_column).alias("text_hash"),
+        F.struct(*docs.columns).alias("row"), _document(id_column).alias("document"), F.xxhash64(text_column).alias("text_hash"),
     )
-    joined = rows.join(marks, ["document", "text_hash"], "left")
+    joined = rows.join(marks, ["document", "text_hash"], "left").withColumn("text", F.col(f"row.`{text_column}`"))
     # Only for texts that lose something: lines as arrays of sentences, the codes of
     # all sentences of lines not dropped whole, and of these the codes not dropped.
     nested = F.when(F.col("codes").isNotNull(), F.transform(

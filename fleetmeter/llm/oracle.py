@@ -79,15 +79,20 @@ closed AS (  -- a sentence end at the end of a line opens an empty sentence ther
          CASE WHEN content = '' THEN [''] WHEN regexp_matches(content, '[.!?] $') THEN list_append(sentences, '')
               ELSE sentences END AS sentences FROM lines),
 ends AS (SELECT doc_id, max(line) AS last_line FROM closed GROUP BY doc_id),
+sentence_units AS (
+  SELECT doc_id, line, part, n, template,
+         CASE WHEN template = '' THEN 0 ELSE length(template) - length(replace(template, ' ', '')) + 1 END AS tokens
+  FROM (SELECT doc_id, line, part, n,
+               regexp_replace(trim(unit, chr(10) || ' '), '[^\s0-9]*[0-9]\S*', '{line_dedup.FIELD}', 'g') AS template
+        FROM (SELECT doc_id, line, unnest(range(1, len(sentences) + 1)) AS part, unnest(sentences) AS unit,
+                     len(sentences) AS n FROM closed))),
 units AS (
-  SELECT doc_id, line, 0 AS part, content AS unit, len(sentences) AS n FROM closed
+  SELECT doc_id, line, CASE WHEN n = 1 THEN 0 ELSE part END AS part, template, tokens FROM sentence_units
   UNION ALL
-  SELECT doc_id, line, unnest(range(1, len(sentences) + 1)), unnest(sentences), len(sentences)
-  FROM closed WHERE len(sentences) > 1),
-named AS (SELECT doc_id, line, part, n, regexp_replace(trim(unit), '[^\s0-9]*[0-9]\S*', '{line_dedup.FIELD}', 'g') AS template
-          FROM units),
-long AS (SELECT * FROM named WHERE length(template) - length(replace(template, ' ', '')) + 1
-         >= CASE WHEN part = 0 THEN {line_dedup.LINE_TOKENS} ELSE {line_dedup.SENTENCE_TOKENS} END),
+  SELECT doc_id, line, 0, string_agg(template, chr(1) ORDER BY part), sum(tokens)
+  FROM sentence_units WHERE n > 1 GROUP BY doc_id, line),
+long AS (SELECT * FROM units
+         WHERE tokens >= CASE WHEN part = 0 THEN {line_dedup.LINE_TOKENS} ELSE {line_dedup.SENTENCE_TOKENS} END),
 repeated AS (SELECT template, min(doc_id) AS keeper FROM long GROUP BY template HAVING min(doc_id) <> max(doc_id)),
 dropped AS (SELECT doc_id, line, part FROM long JOIN repeated USING (template) WHERE doc_id <> keeper),
 sentences AS (
@@ -136,9 +141,29 @@ FROM ruled
 """
 
 
+_NGRAM_JOIN = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) END AS own
+  FROM words),
+members AS (SELECT doc_id, len(own) AS size, unnest(own) AS shingle FROM sets),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y
+          FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id
+          HAVING 100 * count(*) >= 80 * (any_value(a.size) + any_value(b.size) - count(*))),
+reached AS (SELECT doc_id AS x, doc_id AS y FROM documents
+            UNION SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x)
+SELECT sets.doc_id, len(own)::BIGINT AS n_shingles, min(y) AS component_id
+FROM sets JOIN reached ON sets.doc_id = reached.x GROUP BY sets.doc_id, own
+"""
+
+
 ORACLE = {
     "op1_license_scan": _license_sql(),
     "op3_decontamination": _DECONTAMINATION,
     "op4_line_dedup": _LINE_DEDUP,
     "op6_url_filters": _url_sql(),
+    "op8_ngram_join": _NGRAM_JOIN,
 }
