@@ -6,7 +6,7 @@ counts the pairs instead.
 """
 
 from checks.queries import (
-    AS_OF, CATEGORIES, CODES, FIRST_DAY, LAST_DAY, LISTED_COLUMNS, PERIODS, PRODUCTS,
+    AS_OF, CATEGORIES, CODES, FIRST_DAY, LAST_DAY, LISTED_COLUMNS, PAGE_LAST, PERIODS, PRODUCTS,
 )
 from fleetmeter.fixed_values import BRANDS, STATUSES
 
@@ -18,30 +18,29 @@ WITH asset AS (
          CASE WHEN s_nationkey <> 0 THEN n_name END AS asset_category
   FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
 product AS (
-  SELECT p_partkey, min(p_name) AS product_name FROM part
-  WHERE p_partkey BETWEEN 0 AND 23 GROUP BY p_partkey),
+  SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS product_id,
+         CASE WHEN p_name <> 'hot gear' THEN p_name END AS product_name FROM part),
 hm AS (
   SELECT asset_category, asset_code, asset_name,
-         l_shipdate + to_hours(l_linenumber) AS date,
+         l_shipdate + to_days(1 - l_linenumber % 2) + to_hours(l_linenumber) AS date,
          CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) * 10 + l_linenumber AS DOUBLE)
            AS total_hour_meter,
          l_quantity AS hour_meter_per_date,
          CASE WHEN l_linenumber = 7 AND l_suppkey % 5 = 0 THEN 'true'
               WHEN l_linenumber < 7 THEN 'false' END AS reset_hm
-  FROM lineitem JOIN asset ON l_suppkey = s_suppkey WHERE l_linenumber % 2 = 1),
+  FROM lineitem JOIN asset ON l_suppkey = s_suppkey),
 gc AS (
   SELECT asset_category, asset_code, asset_name, l_shipdate AS date,
-         l_partkey % 25 AS product_id, product_name,
+         CASE WHEN l_suppkey % 10 <> 0 THEN product_id END AS product_id, product_name,
          l_quantity AS product_bought_qty, l_extendedprice AS total_price,
-         l_orderkey AS consume_id_good_consume,
+         CASE WHEN l_suppkey % 10 <> 0 THEN l_orderkey END AS consume_id_good_consume,
          CASE WHEN l_orderkey % 11 <> 0 THEN l_orderkey END AS consume_id_assignment,
          l_shipdate AS due_date,
          CASE WHEN l_linenumber <> 6
               THEN CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) * 10 AS DOUBLE) END
            AS fix_hm_record
   FROM lineitem JOIN asset ON l_suppkey = s_suppkey
-  LEFT JOIN product ON l_partkey % 25 = p_partkey
-  WHERE l_suppkey % 10 <> 0),
+  LEFT JOIN product ON l_partkey = p_partkey),
 fact AS (
   SELECT 'hm_record' AS source, asset_category, asset_code, asset_name, date,
          total_hour_meter, hour_meter_per_date, reset_hm,
@@ -92,6 +91,8 @@ SELECT source, asset_category, count(*) AS entries FROM fact GROUP BY source, as
 over_fact("scan_csv_subset", f"SELECT {', '.join(LISTED_COLUMNS)} FROM fact")
 over_fact("split_by_source", """
 SELECT asset_code, date, hour_meter_per_date, reset_hm FROM fact WHERE source = 'hm_record'""")
+over_fact("split_by_source_cost", """
+SELECT asset_code, date, product_name, total_price FROM fact WHERE source = 'good_consume'""")
 over_fact("union_sources", """
 SELECT source, asset_category, asset_code, date, product_name, total_price,
        total_hour_meter, consume_id_assignment FROM fact""")
@@ -111,8 +112,9 @@ SELECT source, asset_category, asset_code, date, product_name FROM fact WHERE {I
 over_fact("filter_by_asset", f"""
 SELECT source, asset_category, asset_code, date, product_name FROM fact WHERE {IN_CODES}""")
 over_fact("filter_by_table", f"""
-SELECT source, asset_code, date FROM fact WHERE asset_code IN (
-  SELECT asset_code FROM fact WHERE product_name = '{PRODUCTS[0]}')""")
+SELECT source, asset_code, date FROM fact WHERE EXISTS (
+  SELECT 1 FROM fact AS used WHERE used.product_name = '{PRODUCTS[0]}'
+    AND used.asset_code IS NOT DISTINCT FROM fact.asset_code)""")
 over_fact("filter_product_on_cost_rows", f"""
 SELECT source, asset_code, date, product_name, total_price FROM fact WHERE source = 'hm_record'
 UNION ALL
@@ -135,6 +137,11 @@ SELECT *, TRY_CAST(due_text AS TIMESTAMP) AS due_date FROM (
          CASE WHEN consume_id_assignment IS NULL THEN 'not due'
               ELSE strftime(due_date, '%Y-%m-%d %H:%M:%S') END AS due_text FROM gc)""")
 
+over_fact("parse_dates_strict", """
+SELECT asset_code, consume_id_good_consume, strftime(due_date, '%Y-%m-%d %H:%M:%S') AS due_text,
+       CAST(strftime(due_date, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS due_date
+FROM gc WHERE due_date IS NOT NULL""")
+
 # --- options ---------------------------------------------------------------------
 
 over_fact("options_category", """
@@ -414,6 +421,8 @@ SELECT * FROM hm_agg WHERE NOT EXISTS (SELECT 1 FROM df_new
 over_service("status_report", "SELECT * FROM report")
 IN_REPORT = member("asset_category", CATEGORIES)
 over_service("status_filtered", f"SELECT * FROM report WHERE {IN_REPORT}")
+over_service("status_filtered_by_code", f"SELECT * FROM report WHERE {IN_CODES}")
+over_service("status_filtered_by_both", f"SELECT * FROM report WHERE {IN_REPORT} AND {IN_CODES}")
 over_service("status_detail", f"SELECT * FROM report WHERE status IN ({listed(STATUSES[:2])})")
 over_service("report_options_category", "SELECT DISTINCT asset_category FROM report")
 over_service("report_options_asset", f"SELECT DISTINCT asset_code FROM report WHERE {IN_REPORT}")
@@ -437,6 +446,20 @@ FROM (SELECT *, row_number() OVER (ORDER BY service_number NULLS LAST, asset_cat
         service_count NULLS LAST) AS place
       FROM ({SHOWN_ROWS}))
 WHERE place > 20 AND place <= 40""")
+_LAST = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in PAGE_LAST.values())
+over_service("status_page_after", f"""
+SELECT asset_category, asset_code, asset_name, product_name, status, service_count,
+       latest_product_maintained_at, maintained_hour_meter, latest_asset_used_at,
+       latest_used_hour_meter, avg_service, hours_after_maintained, place AS pos
+FROM (SELECT *, row_number() OVER (ORDER BY service_number NULLS LAST, asset_category NULLS LAST,
+        asset_code NULLS LAST, asset_name NULLS LAST, product_name NULLS LAST,
+        service_count NULLS LAST) AS place
+      FROM ({SHOWN_ROWS}) WHERE
+        (service_number IS NULL, coalesce(service_number, 0), asset_category IS NULL, coalesce(asset_category, ''),
+         asset_code IS NULL, coalesce(asset_code, ''), asset_name IS NULL, coalesce(asset_name, ''),
+         product_name IS NULL, coalesce(product_name, ''), service_count IS NULL, coalesce(service_count, 0))
+        > ({', '.join(f"false, {v}" for v in _LAST.split(", "))}))
+WHERE place <= 20""")
 over_service("status_page_count", f"""
 SELECT count(*) AS total_rows,
        count(*) // 20 + CASE WHEN count(*) % 20 > 0 THEN 1 ELSE 0 END AS total_pages

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fleetmeter.fixed_values import BRANDS
-from fleetmeter.functions.dates import parse_timestamp_lenient
+from fleetmeter.functions.dates import parse_timestamp, parse_timestamp_lenient
 from fleetmeter.functions.numbers import number_or_zero, total_price
 from fleetmeter.functions.text import grouped_text, number_text, price_text
 from fleetmeter.operators import (
@@ -13,7 +13,7 @@ from fleetmeter.plans import service_status
 from fleetmeter.plans.service_status import ServiceHistory
 from fleetmeter.schema import MAINTENANCE_SCHEMA, TREND_SCHEMA
 from fleetmeter.sources import readers, shaping
-from fleetmeter.sources.staging import staged, staging_path
+from fleetmeter.sources.staging import staged, staging_folder, staging_path
 from fleetmeter.sources.star import consumption_records, hour_records, star_fact
 
 CATEGORIES = ["NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5"]
@@ -24,6 +24,10 @@ FIRST_DAY, LAST_DAY = "1997-03-01", "1998-04-30"
 AS_OF = "1999-06-30 12:00:00"
 PERIODS = ("1997-03", "1998-04")
 CLUSTERS = 6
+PAGE_LAST = {
+    "service_number": 100, "asset_category": "NATION_3", "asset_code": "Supplier#000000003",
+    "asset_name": "Unit 3", "product_name": "red widget", "service_count": 1,
+}
 LISTED_COLUMNS = ["source", "asset_code", "date", "product_id", "product_name", "total_price"]
 
 QUERIES = {}
@@ -41,10 +45,19 @@ def table_query(function):
     return function
 
 
+_FACTS = {}
+
+
 def _maintenance_fact(spark, folder):
-    """The maintenance fact as a table: seven branches of the history read it."""
-    fact = readers.conform(star_fact(spark, folder), MAINTENANCE_SCHEMA)
-    return staged(fact, "fact", by=["source"])
+    """The maintenance fact as a table: seven branches of the history read it.
+
+    Written once for each session and folder of tables; later queries read it again.
+    """
+    key = (spark.sparkContext.applicationId, staging_folder(spark), folder)
+    if key not in _FACTS:
+        fact = readers.conform(star_fact(spark, folder), MAINTENANCE_SCHEMA)
+        _FACTS[key] = staged(fact, "fact", by=["source"])
+    return _FACTS[key]
 
 
 def history_query(function):
@@ -88,6 +101,11 @@ def split_by_source(fact):
     return shaping.hour_rows(fact).select("asset_code", "date", "hour_meter_per_date", "reset_hm")
 
 
+@query
+def split_by_source_cost(fact):
+    return shaping.cost_rows(fact).select("asset_code", "date", "product_name", "total_price")
+
+
 @table_query
 def union_sources(spark, folder):
     return shaping.union_sources(
@@ -178,6 +196,14 @@ def parse_dates_lenient(spark, folder):
     return marked.withColumn("due_date", parse_timestamp_lenient("due_text"))
 
 
+@table_query
+def parse_dates_strict(spark, folder):
+    rows = consumption_records(spark, folder).where(F.col("due_date").isNotNull())
+    text = F.date_format("due_date", "yyyy-MM-dd HH:mm:ss")
+    marked = rows.select("asset_code", "consume_id_good_consume", text.alias("due_text"))
+    return marked.withColumn("due_date", parse_timestamp("due_text"))
+
+
 # --- options ---------------------------------------------------------------------
 
 
@@ -418,6 +444,16 @@ def status_filtered(history):
     return service_status.filtered(history.report(), categories=CATEGORIES)
 
 
+@history_query
+def status_filtered_by_code(history):
+    return service_status.filtered(history.report(), codes=CODES)
+
+
+@history_query
+def status_filtered_by_both(history):
+    return service_status.filtered(history.report(), categories=CATEGORIES, codes=CODES)
+
+
 @history_query
 def status_detail(history):
     return service_status.detail(history.report(), ["Needed service", "Incoming Service"])
@@ -448,6 +484,12 @@ def status_page(history):
     return service_status.detail_page(history, number=1)
 
 
+@history_query
+def status_page_after(history):
+    """The page after the service number and asset of PAGE_LAST."""
+    return service_status.detail_page_after(history, PAGE_LAST)
+
+
 @history_query
 def status_page_count(history):
     return service_status.detail_page_count(history)

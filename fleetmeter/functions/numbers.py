@@ -1,32 +1,41 @@
-"""Numbers: exact money sums, lenient casts, half-even rounding."""
+"""Numbers: exact sums, lenient casts, half-even rounding."""
 
 from pyspark.sql import functions as F
 
-CENTS = 100
+_MILLION = 10 ** 6
 
 
-def cents(column):
-    """An amount as whole cents in a long.
+def exact_sum(column):
+    """Sum of doubles as a decimal with six places; NULL where no row has a value.
 
-    Long sums are exact whatever the order of rows, so a recomputed task cannot
-    change a total, and they stay in generated code on primitive values.
+    A value is taken apart into millions, units and millionths, each added in a long:
+    partial sums stay primitive, no order of rows or repeated task can change a total,
+    and it may reach 9e24 over 9e12 rows. Below a millionth a value is rounded.
     """
-    return F.rint(F.col(column) * CENTS).cast("long")
+    value = F.col(column)
+    millions = F.floor(value / _MILLION)
+    units = F.floor(value - millions * _MILLION)
+    rest = F.rint((value - millions * _MILLION - units) * _MILLION).cast("long")
+
+    def total(part, size):
+        return F.sum(part).cast("decimal(20,0)") * F.expr(f"cast('{size}' as decimal(13,6))")
+
+    return total(millions, 10 ** 6) + total(units, 1) + total(rest, "0.000001")
 
 
 def total_price(column="total_price"):
     """Sum of money; a group with no price at all is 0."""
-    return F.coalesce(F.sum(cents(column)), F.lit(0)).cast("double") / CENTS
+    return total_or_zero(column)
 
 
 def mean_price(column="total_price"):
     """Mean of money over the rows that have one; NULL where no row has."""
-    return F.try_divide(F.sum(cents(column)).cast("double"), F.count(column) * CENTS)
+    return F.try_divide(exact_sum(column).cast("double"), F.count(column))
 
 
 def total_or_zero(column):
-    """Sum of hours or quantities; a group with no value at all is 0."""
-    return F.coalesce(F.sum(column), F.lit(0.0))
+    """Sum of amounts, hours or quantities; a group with no value at all is 0."""
+    return F.coalesce(exact_sum(column).cast("double"), F.lit(0.0))
 
 
 def number_or_zero(column):

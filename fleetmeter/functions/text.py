@@ -7,19 +7,23 @@ from fleetmeter.fixed_values import BRANDS, PRICE_PREFIX, SCALES
 
 def _decimal(column):
     # 19 whole and 6 decimal digits: times the smallest factor still fits 38 digits.
-    return column.cast("decimal(25,6)")
+    # Larger amounts are written another way, and are left out here.
+    return F.when(F.abs(column) < F.lit(1e19), column).cast("decimal(25,6)")
 
 
 def _scaled(column, prefix, small):
     """Largest scale the amount reaches, two decimals, ties to even."""
     amount = _decimal(column)
-    text = None
+    # From here on neighbouring doubles are over a hundred apart: no ties to settle.
+    power, letter = SCALES[0]
+    text = F.when(column >= F.lit(1e18), F.concat(
+        F.lit(prefix), F.format_string("%.2f", column / float(10 ** power)), F.lit(f" {letter}")))
     for power, letter in SCALES:
         factor = F.expr(f"cast('1e-{power}' as decimal({power},{power}))")
         value = F.bround(amount * factor, 2).cast("decimal(24,2)").cast("string")
         piece = F.concat(F.lit(prefix), value, F.lit(f" {letter}"))
         reached = column >= F.lit(float(10 ** power))
-        text = F.when(reached, piece) if text is None else text.when(reached, piece)
+        text = text.when(reached, piece)
     text = text.when(column.isNotNull(), F.concat(F.lit(prefix), small(amount)))
     return F.translate(text, ".", ",")
 

@@ -94,10 +94,18 @@ def service_days(events):
     )
 
 
-def consumption_services(costs, extra=(), how="left"):
-    """Consumption with the days its service number was due; `left` keeps the rest."""
+def consumption_services(costs, extra=(), how="left", read=None):
+    """Consumption with the days its service number was due; `left` keeps the rest.
+
+    With `read`, the reading days, only assets that were ever read and days on which
+    any was take part: a number that many consumptions and many days share makes a
+    row for each two of them.
+    """
     used = consumption(costs, extra).select(*consumption_keys(extra))
     days = service_days(service_events(costs))
+    if read is not None:
+        used = used.join(read.select(*ASSET).distinct(), ASSET, "left_semi")
+        days = days.join(read.select("due_day").distinct(), "due_day", "left_semi")
     same = used["consume_id_good_consume"] == days["consume_id_assignment"]
     return used.join(days, same, how)
 
@@ -112,7 +120,7 @@ def matched_services(costs, read, extra=()):
     those with a meter value. The service after this one is measured from
     `closing_meter`, which is NULL when a record without a value comes last.
     """
-    due = consumption_services(costs, extra, "inner")
+    due = consumption_services(costs, extra, "inner", read)
     closing = F.when(F.col("metered") == F.col("events"), F.col("highest_meter"))
     return due.join(read, [*ASSET, "due_day"]).select(
         *consumption_keys(extra),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fleetmeter.operators.predicates import is_member, optional
+from fleetmeter.sources.staging import staged
 
 FIRST_SEEN = "first_date"
 
@@ -56,17 +57,21 @@ def default_selection(fact, grouped_by="asset"):
     """The selection before the user makes one, as (level, value) rows.
 
     The first category by date; by asset its first code, by category all its
-    codes; and every product of those codes.
+    codes; and every product of those codes. The fact is read once, for a small
+    table of what occurs together since when, which is written and read from there.
     """
-    first_category = _first(category_options(fact), "asset_category")
-    in_category = fact.join(
-        first_category, fact["asset_category"].eqNullSafe(F.col("_default")), "left_semi"
+    seen = staged(
+        fact.groupBy("asset_category", "asset_code", "product_name").agg(F.min("date").alias("date")),
+        "options")
+    first_category = _first(category_options(seen), "asset_category")
+    in_category = seen.join(
+        first_category, seen["asset_category"].eqNullSafe(F.col("_default")), "left_semi"
     )
     if grouped_by == "asset":
         codes = _first(options_by_date(in_category, "asset_code"), "asset_code")
     else:
         codes = in_category.select(F.col("asset_code").alias("_default")).distinct()
-    of_codes = fact.join(codes, fact["asset_code"].eqNullSafe(F.col("_default")), "left_semi")
+    of_codes = seen.join(codes, seen["asset_code"].eqNullSafe(F.col("_default")), "left_semi")
     products = of_codes.select("product_name").distinct()
 
     def level(rows, name, column):

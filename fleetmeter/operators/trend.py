@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fleetmeter.fixed_values import PERIOD_COLUMNS, RESET_FLAG, RESET_MESSAGE
 from fleetmeter.functions.dates import period_bounds, period_label, period_start
-from fleetmeter.functions.numbers import cents, CENTS, total_or_zero, total_price
+from fleetmeter.functions.numbers import exact_sum, total_or_zero, total_price
 from fleetmeter.operators.predicates import in_date_range, is_member, product_on_cost_rows, within_days
 
 ENTITIES = {"asset": "asset_code", "category": "asset_category"}
@@ -139,7 +139,7 @@ def cost_tooltip(rows, entity="asset", grain="month"):
     """Price under the pointer: trend rows of equal price share one sum."""
     trend_prices = trend_rows(rows, entity, grain)
     return trend_prices.groupBy(*_shown(entity, grain), "total_price").agg(
-        (F.sum(cents("total_price")).cast("double") / CENTS).alias("sum_total_price")
+        exact_sum("total_price").cast("double").alias("sum_total_price")
     )
 
 

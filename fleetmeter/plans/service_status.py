@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetmeter.fixed_values import REPORT_PAGE, STATUSES
 from fleetmeter.operators import intervals, maintenance, ranking, status
-from fleetmeter.operators.paging import ascending, page, page_count
+from fleetmeter.operators.paging import ascending, page, page_after, page_count
 from fleetmeter.operators.predicates import is_member, optional
 from fleetmeter.sources.shaping import cost_rows
 from fleetmeter.sources.staging import staged
@@ -110,9 +110,18 @@ def detail(report, statuses=None):
 def detail_page(history, number=0, statuses=None, size=REPORT_PAGE, **selections):
     """One page of the report, with `pos`, the place on the page."""
     rows = detail(filtered(history.classified(), **selections), statuses)
+    return _on_page(history, rows, page(rows, PAGE_ORDER, size, number))
+
+
+def detail_page_after(history, last, statuses=None, size=REPORT_PAGE, **selections):
+    """The page that follows the row `last`, a mapping of the columns of PAGE_ORDER."""
+    rows = detail(filtered(history.classified(), **selections), statuses)
+    return _on_page(history, rows, page_after(rows, PAGE_ORDER, size, last))
+
+
+def _on_page(history, rows, paged):
     names = status.report_columns(rows, history.extra).columns
-    paged = ranking.numbered(page(rows, PAGE_ORDER, size, number), PAGE_ORDER)
-    return paged.select(*names, "pos")
+    return ranking.numbered(paged, PAGE_ORDER).select(*names, "pos")
 
 
 def detail_page_count(history, statuses=None, size=REPORT_PAGE, **selections):

@@ -18,6 +18,8 @@ SETTINGS = {
     # Hot join keys are split into several tasks.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # An overflow stops the job instead of wrapping.
+    "spark.sql.ansi.enabled": "true",
 }
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from fleetmeter.sources.shaping import union_sources
 
-PRODUCTS = 25
-UNNAMED_PRODUCT = 24
+#: A product whose name is left out, so that lines without a product name occur.
+UNNAMED_PRODUCT = "hot gear"
 
 
 # Columns read from each table. A stated schema spares the look into the files that
@@ -49,10 +49,11 @@ def on_assets(spark, folder, lines):
 
 
 def products(spark, folder):
-    """Names of the products: at most PRODUCTS rows, since the key is grouped."""
+    """Every part with its product: parts of one name are one product, by the least key."""
     part = _table(spark, folder, "part")
-    named = part.where((F.col("p_partkey") >= 0) & (F.col("p_partkey") < UNNAMED_PRODUCT))
-    return named.groupBy("p_partkey").agg(F.min("p_name").alias("product_name"))
+    least = part.groupBy("p_name").agg(F.min("p_partkey").alias("product_id"))
+    named = F.when(F.col("p_name") != UNNAMED_PRODUCT, F.col("p_name"))
+    return part.join(least, "p_name").select("p_partkey", "product_id", named.alias("product_name"))
 
 
 def _days():
@@ -60,14 +61,17 @@ def _days():
 
 
 def hour_records(spark, folder):
-    line = _table(spark, folder, "lineitem").where("l_linenumber % 2 = 1")
+    """A reading of every line. Those of even lines are a day late, so that service
+    days without a reading occur."""
+    line = _table(spark, folder, "lineitem")
     number = F.col("l_linenumber")
     reset = F.when((number == 7) & (F.col("l_suppkey") % 5 == 0), "true").when(number < 7, "false")
-    return on_assets(spark, folder, line).select(
+    late = F.when(number % 2 == 0, 1).otherwise(0)
+    return on_assets(spark, folder, line.withColumn("late", late)).select(
         "asset_category",
         "asset_code",
         "asset_name",
-        F.expr("l_shipdate + make_dt_interval(0, l_linenumber)").alias("date"),
+        F.expr("l_shipdate + make_dt_interval(late, l_linenumber)").alias("date"),
         (_days() * 10 + number).cast("double").alias("total_hour_meter"),
         F.col("l_quantity").alias("hour_meter_per_date"),
         reset.alias("reset_hm"),
@@ -75,24 +79,23 @@ def hour_records(spark, folder):
 
 
 def consumption_records(spark, folder):
-    line = _table(spark, folder, "lineitem").where("l_suppkey % 10 <> 0")
+    """A consumption of every line. Those of suppliers ending in 0 name no product and
+    no consumption number, so that assets without products occur."""
+    line = _table(spark, folder, "lineitem")
     order = F.col("l_orderkey")
+    known = F.col("l_suppkey") % 10 != 0
     meter = F.when(F.col("l_linenumber") != 6, (_days() * 10).cast("double"))
-    rows = line.withColumn("product_id", F.col("l_partkey") % PRODUCTS)
-    # Bounded broadcast: `products` has at most PRODUCTS rows by construction.
-    named = rows.join(
-        F.broadcast(products(spark, folder)), F.col("product_id") == F.col("p_partkey"), "left"
-    )
+    named = line.join(products(spark, folder), F.col("l_partkey") == F.col("p_partkey"), "left")
     return on_assets(spark, folder, named).select(
         "asset_category",
         "asset_code",
         "asset_name",
         F.col("l_shipdate").alias("date"),
-        "product_id",
+        F.when(known, F.col("product_id")).alias("product_id"),
         "product_name",
         F.col("l_quantity").alias("product_bought_qty"),
         F.col("l_extendedprice").alias("total_price"),
-        order.alias("consume_id_good_consume"),
+        F.when(known, order).alias("consume_id_good_consume"),
         F.when(order % 11 != 0, order).alias("consume_id_assignment"),
         F.col("l_shipdate").alias("due_date"),
         meter.alias("fix_hm_record"),
