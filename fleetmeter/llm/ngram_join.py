@@ -331,8 +331,19 @@ def _verify(batches):
             [pa.array(lower[linked]), pa.array(upper[linked])], names=["lower", "upper"])
 
 
+#: Pairs up to which their nodes are broadcast to the sets: two long values each.
+FEW_PAIRS = 100_000
+
+
 def verified(pairs, sets):
-    """The pairs whose sets are similar; `sets` is a written table."""
+    """The pairs whose sets are similar; `pairs` and `sets` are written tables.
+
+    Few pairs pick their sets by a broadcast of the nodes, so that the others' sets
+    are not shuffled.
+    """
+    if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
+        nodes = pairs.select(F.explode(F.array("lower", "upper")).alias("node")).distinct()
+        sets = sets.join(F.broadcast(nodes), "node", "left_semi")
     lower = sets.select(F.col("node").alias("lower"), F.col("members").alias("lower_members"))
     upper = sets.select(F.col("node").alias("upper"), F.col("members").alias("upper_members"))
     both = pairs.select("lower", "upper").join(lower, "lower").join(upper, "upper")
@@ -400,27 +411,27 @@ def _met_often(found):
         hot.select("signature", F.col("lower").alias("node"))).distinct()
 
 
-def _close(found, sets):
-    """Links among the pairs of small groups."""
-    pairs = found.where("signature IS NULL").select("lower", "upper").distinct()
-    return staged(verified(pairs, sets), "join-links")
+def _small_groups(found):
+    """The pairs of small groups, once."""
+    return staged(found.where("signature IS NULL").select("lower", "upper").distinct(), "join-pairs")
 
 
 def linked_components(docs, digest, id_column="doc_id", text_column="text"):
-    """(node, component) of the nodes that share a signature, by the smallest node reached."""
+    """(node, component) of the nodes compared, by the smallest node reached."""
     found = staged(candidate_pairs(node_signatures(docs, id_column, text_column)), "join-candidates")
     holders = digest.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("id"), F.min("spare").alias("spare"))
-    met = found.select(F.explode(F.array("lower", "upper")).alias("node")).distinct()
-    wanted = met.join(holders, "node").select("id", "node")
-    sets = staged(node_sets(docs, wanted, id_column, text_column).dropDuplicates(["node"]), "join-sets")
-    links = _close(found, sets)
+    pairs = _small_groups(found)
     # Nodes whose partners may share no rarer signature.
-    often = _met_often(found).groupBy("node").agg(F.count("*").alias("hot")).join(
-        holders.select("node", "spare"), "node").where("hot > spare").select("node")
+    often = staged(_met_often(found).groupBy("node").agg(F.count("*").alias("hot")).join(
+        holders.select("node", "spare"), "node").where("hot > spare").select("node"), "join-often")
+    compared = pairs.select(F.explode(F.array("lower", "upper")).alias("node")).unionByName(often).distinct()
+    wanted = compared.join(holders, "node").select("id", "node")
+    sets = staged(node_sets(docs, wanted, id_column, text_column).dropDuplicates(["node"]), "join-sets")
+    links = staged(verified(pairs, sets), "join-links")
     again = staged(candidate_pairs(prefix_signatures(
         staged(sets.join(often, "node", "left_semi"), "join-often"))), "join-candidates")
-    links = links.unionByName(_close(again, sets))
+    links = links.unionByName(staged(verified(_small_groups(again), sets), "join-links"))
     members = _met_often(again)
     nodes = sets.select("node", F.col("node").alias("component"))
     components = merged(nodes, links)
@@ -448,7 +459,7 @@ def linked_components(docs, digest, id_column="doc_id", text_column="text"):
             left = open_members.select("signature", F.col("node").alias("a"), F.col("component").alias("one"))
             right = open_members.select("signature", F.col("node").alias("b"), F.col("component").alias("other"))
             tries = left.join(right, "signature").where("one < other").select(*_ordered(F.col("a"), F.col("b")))
-        new = staged(verified(tries.distinct(), sets), "join-links")
+        new = staged(verified(staged(tries.distinct(), "join-pairs"), sets), "join-links")
         if not new.isEmpty():
             components = merged(components, new)
         members = open_members.select("signature", "node")
