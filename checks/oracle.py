@@ -517,3 +517,38 @@ rarity AS (
   SELECT term, ln((1 + (SELECT sum("rows") FROM documents)) / (1 + sum("rows"))) + 1 AS idf
   FROM counted GROUP BY 1)
 """)
+
+# With at least as many clusters as there are different names, each name's terms are a
+# cluster of their own: its label is its terms, later letters first.
+MAPPED = f""",
+{cleaned('gc')},
+spelled AS (
+  SELECT product_name, cleaned_product_name, words,
+         list_sort(list_distinct(list_filter(string_split(lower(cleaned_product_name), ' '),
+                                             lambda t: length(t) >= 2)), 'DESC') AS terms
+  FROM names WHERE words > 0),
+mapping AS (
+  SELECT product_name, upper(CASE WHEN words = 1 OR len(terms) = 0 THEN cleaned_product_name
+                                  ELSE array_to_string(terms, ' ') END) AS product_subcategory
+  FROM spelled)
+"""
+over_fact("product_subcategory", "SELECT * FROM mapping", MAPPED)
+
+# The service history once more, with the subcategory as one more key of a line.
+_BY_SUBCATEGORY = (
+    SERVICE.replace("SELECT * REPLACE (coalesce(asset_category, 'Unknown Category') AS asset_category) FROM gc)",
+                    "SELECT gc.* REPLACE (coalesce(asset_category, 'Unknown Category') AS asset_category), "
+                    "product_subcategory FROM gc JOIN mapping USING (product_name))")
+    .replace(LINE, f"{LINE}, product_subcategory")
+    .replace("SELECT asset_category, asset_code, asset_name, product_name, service_count,\n         consume_id_good_consume",
+             "SELECT asset_category, asset_code, asset_name, product_subcategory, product_name, service_count,\n"
+             "         consume_id_good_consume")
+    .replace("FROM counted GROUP BY 1, 2, 3, 4, 5, 6)", "FROM counted GROUP BY 1, 2, 3, 4, 5, 6, 7)")
+    .replace("SELECT asset_category, asset_code, asset_name, product_name, status,",
+             "SELECT asset_category, asset_code, asset_name, product_subcategory, product_name, status,")
+)
+over_fact("status_report_subcategory", "SELECT * FROM report", MAPPED + _BY_SUBCATEGORY)
+over_fact("status_filtered_subcategory", f"""
+SELECT * FROM report WHERE {IN_REPORT} AND EXISTS (
+  SELECT 1 FROM report AS other WHERE {member('other.asset_category', CATEGORIES[:1])}
+    AND other.product_subcategory IS NOT DISTINCT FROM report.product_subcategory)""", MAPPED + _BY_SUBCATEGORY)

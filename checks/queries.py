@@ -23,7 +23,6 @@ PRODUCTS = ["red widget", "blue bolt", None]
 FIRST_DAY, LAST_DAY = "1997-03-01", "1998-04-30"
 AS_OF = "1999-06-30 12:00:00"
 PERIODS = ("1997-03", "1998-04")
-CLUSTERS = 6
 PAGE_LAST = {
     "service_number": 100, "asset_category": "NATION_3", "asset_code": "Supplier#000000003",
     "asset_name": "Unit 3", "product_name": "red widget", "service_count": 1,
@@ -538,7 +537,7 @@ def tfidf_terms(fact):
 
 
 def _subcategories(fact):
-    return subcategory.subcategories(shaping.cost_rows(fact), clusters=CLUSTERS)
+    return subcategory.subcategories(shaping.cost_rows(fact))
 
 
 def _history_by_subcategory(fact):

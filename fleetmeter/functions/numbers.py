@@ -14,8 +14,9 @@ def exact_sum(column):
     """
     value = F.col(column)
     millions = F.floor(value / _MILLION)
-    units = F.floor(value - millions * _MILLION)
-    rest = F.rint((value - millions * _MILLION - units) * _MILLION).cast("long")
+    below = value - millions.cast("double") * _MILLION
+    units = F.floor(below)
+    rest = F.rint((below - units) * _MILLION).cast("long")
 
     def total(part, size):
         return F.sum(part).cast("decimal(20,0)") * F.expr(f"cast('{size}' as decimal(13,6))")

@@ -82,7 +82,8 @@ def _clusters(names, clusters, seed):
     documents = _documents(names)
     rarity = {row["term"]: row["rarity"] for row in _rarity(documents).toLocalIterator()}
     if not rarity:
-        return documents.select(NAME, F.lit(0).alias("cluster"))
+        # No term at all: each name keeps its words.
+        return documents.select(NAME, F.lit(None).cast("int").alias("cluster"))
     counted = CountVectorizer(
         inputCol="terms", outputCol="counts", vocabSize=len(rarity), minDF=1.0
     ).fit(documents)
@@ -94,10 +95,7 @@ def _clusters(names, clusters, seed):
     ]
     points = reduce(lambda df, step: step.transform(df), steps, documents)
     points = points.withColumn("rows", F.col("rows").cast("double"))
-    k = min(clusters, points.count())
-    if k < 2:
-        return documents.select(NAME, F.lit(0).alias("cluster"))
-    model = KMeans(k=k, seed=seed, weightCol="rows", predictionCol="cluster").fit(points)
+    model = KMeans(k=clusters, seed=seed, weightCol="rows", predictionCol="cluster").fit(points)
     return model.transform(points).select(NAME, "cluster")
 
 

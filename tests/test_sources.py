@@ -16,14 +16,14 @@ def test_scans(spark, tmp_path):
     path = str(tmp_path / "fact")
     star_fact(spark, FOLDER).write.partitionBy("source").parquet(path)
     trend = readers.read_trend_fact(spark, path)
-    assert "asset_name" in trend.columns and trend.count() == 3499 + 5455
+    assert "asset_name" in trend.columns and trend.count() == 6000 + 6000
     fact = readers.read_maintenance_fact(spark, path)
     assert fact.columns == MAINTENANCE_SCHEMA.names
     costs = shaping.cost_rows(fact).select("asset_code")
     plan = costs._jdf.queryExecution().executedPlan().toString()
     assert f"(source#" in plan and f"= {COST_SOURCE})" in plan.split("PartitionFilters")[1]
     assert "ReadSchema: struct<asset_code:string>" in plan
-    assert costs.count() == 5455
+    assert costs.count() == 6000
 
 
 def test_nan_becomes_null_and_numbers_are_cast(spark):
@@ -55,7 +55,7 @@ def test_csv_subset(spark, tmp_path):
 def test_sql_text(spark):
     fact = star_fact(spark, FOLDER)
     found = readers.run_query(spark, "SELECT count(*) AS n FROM {f} WHERE source = 'hm_record'", f=fact)
-    assert found.first()["n"] == 3499
+    assert found.first()["n"] == 6000
 
 
 def test_union_fills_missing_columns(spark):
