@@ -218,18 +218,19 @@ def _groups(batches):
         upper = np.concatenate([p[1] for p in pieces])
         hot = np.concatenate([np.full(len(p[0]), p[3]) for p in pieces])
         signs = np.concatenate([p[2] for p in pieces])
-        # Two nodes meet in many small groups: each batch sends them once.
-        keep = np.ones(len(lower), bool)
-        small = np.flatnonzero(~hot)
-        if len(small):
-            pairs = np.stack([lower[small], upper[small]], axis=1)
-            _, once = np.unique(pairs, axis=0, return_index=True)
-            keep[small] = False
-            keep[small[once]] = True
-        lower, upper, hot, signs = lower[keep], upper[keep], hot[keep], signs[keep]
+        small = ~hot
+        parts = [(lower[hot], upper[hot], signs[hot], np.ones(hot.sum(), np.int64))]
+        if small.any():
+            # Two nodes meet in many small groups: each batch sends them once, with the number.
+            low, up = lower[small], upper[small]
+            order = np.lexsort((up, low))
+            low, up = low[order], up[order]
+            begin = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (up[1:] != up[:-1])])
+            parts.append((low[begin], up[begin], np.zeros(len(begin), np.int64), np.diff(np.r_[begin, len(low)])))
+        lower, upper, signs, shared = (np.concatenate(c) for c in zip(*parts))
         return pa.RecordBatch.from_arrays(
-            [pa.array(lower), pa.array(upper), pa.array(signs, mask=~hot)],
-            names=["lower", "upper", "signature"])
+            [pa.array(lower), pa.array(upper), pa.array(signs, mask=np.arange(len(signs)) >= hot.sum()), pa.array(shared)],
+            names=["lower", "upper", "signature", "shared"])
 
     for batch in batches:
         sign = batch.column(0).to_numpy()
@@ -284,71 +285,92 @@ def _groups(batches):
 
 
 def candidate_pairs(signed):
-    """(lower, upper, signature): signature NULL where the group was small."""
+    """(lower, upper, signature, shared): signature NULL where groups were small, `shared` of them."""
     dealt = signed.repartition("signature").sortWithinPartitions("signature", "node")
-    return dealt.mapInArrow(_groups, "lower bigint, upper bigint, signature bigint")
+    return dealt.mapInArrow(_groups, "lower bigint, upper bigint, signature bigint, shared bigint")
 
 
 def node_sets(docs, wanted, id_column="doc_id", text_column="text"):
-    """(node, members): sets of the nodes in `wanted` (id, node), as sorted 64-bit values."""
+    """(node, size, members, sketch) of the nodes in `wanted` (id, node).
+
+    `members` are sorted 64-bit values; `sketch` is 16 bits of each.
+    """
 
     def take(batches):
         for batch in batches:
-            nodes, members = [], []
+            nodes, sizes, members, sketches = [], [], [], []
             asked = batch.column(2).to_pylist()
             for first, starts, data in text_chunks(batch.column(1)):
                 for row, own in enumerate(shingle_sets(data, starts)):
                     if len(own) and set_hash(own) == asked[first + row]:
                         nodes.append(asked[first + row])
+                        sizes.append(len(own))
                         members.append(own.tobytes())
+                        sketches.append((own >> np.uint64(20)).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(members, pa.binary())], names=["node", "members"])
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary()),
+                 pa.array(sketches, pa.binary())], names=["node", "size", "members", "sketch"])
 
     rows = _utf8(docs, id_column, text_column).join(wanted, "id").select("id", "text_utf8", "node")
-    return rows.mapInArrow(take, "node bigint, members binary")
+    return rows.mapInArrow(take, "node bigint, size bigint, members binary, sketch binary")
 
 
-def _verify(batches):
-    for batch in batches:
-        lower, upper = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        shared = []
-        sizes = []
-        for a, b in zip(batch.column(2), batch.column(3)):
-            a = np.frombuffer(a.as_buffer(), np.uint64)
-            b = np.frombuffer(b.as_buffer(), np.uint64)
-            sizes.append(len(a) + len(b))
-            if min(len(a), len(b)) * WHOLE < SIMILAR * max(len(a), len(b)):
-                shared.append(0)
-                continue
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.searchsorted(b, a)
-            at[at == len(b)] = 0
-            shared.append(int((b[at] == a).sum()))
-        shared, sizes = np.array(shared, np.int64), np.array(sizes, np.int64)
-        linked = WHOLE * shared >= SIMILAR * (sizes - shared)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lower[linked]), pa.array(upper[linked])], names=["lower", "upper"])
+def _shared_members(a, b):
+    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def _most_shared(a, b):
+    """What two sets share at most, by their sketches: equal shingles have equal bits."""
+    seen = np.zeros(1 << 16, bool)
+    seen[np.frombuffer(b, np.uint16)] = True
+    return int(seen[np.frombuffer(a, np.uint16)].sum())
+
+
+def _keeps(count):
+    """Passes on the pairs of which `count` says that they share enough."""
+
+    def keep(batches):
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            shared = np.array([
+                count(a.as_buffer(), b.as_buffer()) for a, b in zip(batch.column(4), batch.column(5))], np.int64)
+            linked = pa.array(WHOLE * shared >= SIMILAR * (sizes - shared))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(linked), batch.column(1).filter(linked)], names=["lower", "upper"])
+
+    return keep
 
 
 #: Pairs up to which their nodes are broadcast to the sets: two long values each.
 FEW_PAIRS = 100_000
 
 
+def _compared(pairs, sets, column, count):
+    """Pairs of sizes that can be similar, held against each other by `column` of their sets."""
+    if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
+        # The sets of other nodes are not shuffled.
+        nodes = pairs.select(F.explode(F.array("lower", "upper")).alias("node")).distinct()
+        sets = sets.join(F.broadcast(nodes), "node", "left_semi")
+    sizes = sets.select("node", "size")
+    rows = pairs.select("lower", "upper").join(sizes.toDF("lower", "lower_size"), "lower").join(
+        sizes.toDF("upper", "upper_size"), "upper")
+    rows = rows.where(F.least("lower_size", "upper_size") * WHOLE >= F.greatest("lower_size", "upper_size") * SIMILAR)
+    held = sets.select("node", column)
+    both = rows.join(held.toDF("lower", "lower_held"), "lower").join(held.toDF("upper", "upper_held"), "upper")
+    return both.select("lower", "upper", "lower_size", "upper_size", "lower_held", "upper_held").mapInArrow(
+        _keeps(count), "lower bigint, upper bigint")
+
+
 def verified(pairs, sets):
     """The pairs whose sets are similar; `pairs` and `sets` are written tables.
 
-    Few pairs pick their sets by a broadcast of the nodes, so that the others' sets
-    are not shuffled.
+    Sketches, a quarter of the size, rule most pairs out; the others are compared in full.
     """
-    if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
-        nodes = pairs.select(F.explode(F.array("lower", "upper")).alias("node")).distinct()
-        sets = sets.join(F.broadcast(nodes), "node", "left_semi")
-    lower = sets.select(F.col("node").alias("lower"), F.col("members").alias("lower_members"))
-    upper = sets.select(F.col("node").alias("upper"), F.col("members").alias("upper_members"))
-    both = pairs.select("lower", "upper").join(lower, "lower").join(upper, "upper")
-    return both.select("lower", "upper", "lower_members", "upper_members").mapInArrow(
-        _verify, "lower bigint, upper bigint")
+    likely = staged(_compared(pairs, sets, "sketch", _most_shared), "join-likely")
+    return _compared(likely, sets, "members", _shared_members)
 
 
 def _ordered(a, b):
@@ -381,6 +403,7 @@ def prefix_signatures(sets):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))],
                                              names=["counter", "sets"])
 
+    sets = sets.select("node", "members")
     counted = sets.mapInArrow(count, "counter bigint, sets bigint").groupBy("counter").agg(F.sum("sets").alias("sets"))
     full = np.zeros(_COUNTERS, bool)
     full[counted.where(F.col("sets") > SMALL).select("counter").toPandas()["counter"].to_numpy(np.int64)] = True
@@ -412,8 +435,9 @@ def _met_often(found):
 
 
 def _small_groups(found):
-    """The pairs of small groups, once."""
-    return staged(found.where("signature IS NULL").select("lower", "upper").distinct(), "join-pairs")
+    """The pairs of small groups and how many they share."""
+    small = found.where("signature IS NULL")
+    return small.groupBy("lower", "upper").agg(F.sum("shared").alias("shared"))
 
 
 def linked_components(docs, digest, id_column="doc_id", text_column="text"):
@@ -421,17 +445,25 @@ def linked_components(docs, digest, id_column="doc_id", text_column="text"):
     found = staged(candidate_pairs(node_signatures(docs, id_column, text_column)), "join-candidates")
     holders = digest.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("id"), F.min("spare").alias("spare"))
-    pairs = _small_groups(found)
+    hot = _met_often(found).groupBy("node").agg(F.count("*").alias("hot"))
+    met = found.select(F.explode(F.array("lower", "upper")).alias("node")).distinct()
+    # A similar pair shares `spare` + 1 signatures; `hot` of them may be those of large groups.
+    counted = staged(met.join(holders, "node").join(hot, "node", "left").select(
+        "node", "id", "spare", F.coalesce("hot", F.lit(0)).alias("hot")), "join-counted")
+    need = counted.select("node", (F.col("spare") + 1 - F.col("hot")).alias("need"))
+    pairs = _small_groups(found).join(need.toDF("lower", "lower_need"), "lower").join(
+        need.toDF("upper", "upper_need"), "upper")
+    pairs = staged(pairs.where("shared >= lower_need AND shared >= upper_need").select("lower", "upper"), "join-pairs")
     # Nodes whose partners may share no rarer signature.
-    often = staged(_met_often(found).groupBy("node").agg(F.count("*").alias("hot")).join(
-        holders.select("node", "spare"), "node").where("hot > spare").select("node"), "join-often")
+    often = staged(counted.where("hot > spare").select("node"), "join-often")
     compared = pairs.select(F.explode(F.array("lower", "upper")).alias("node")).unionByName(often).distinct()
-    wanted = compared.join(holders, "node").select("id", "node")
+    wanted = compared.join(counted, "node").select("id", "node")
     sets = staged(node_sets(docs, wanted, id_column, text_column).dropDuplicates(["node"]), "join-sets")
     links = staged(verified(pairs, sets), "join-links")
     again = staged(candidate_pairs(prefix_signatures(
         staged(sets.join(often, "node", "left_semi"), "join-often"))), "join-candidates")
-    links = links.unionByName(staged(verified(_small_groups(again), sets), "join-links"))
+    pairs = staged(_small_groups(again).select("lower", "upper"), "join-pairs")
+    links = links.unionByName(staged(verified(pairs, sets), "join-links"))
     members = _met_often(again)
     nodes = sets.select("node", F.col("node").alias("component"))
     components = merged(nodes, links)
