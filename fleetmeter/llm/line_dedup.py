@@ -164,8 +164,11 @@ def deduplicated(docs, id_column="doc_id", text_column="text"):
 
 def without_repetition(docs, id_column="doc_id", text_column="text"):
     """Documents without dropped units; those left with nothing go, empty ones stay."""
-    found = deduplicated(docs, id_column, text_column)
-    left = found.where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("kept_text", "\\s+", " ")) != ""))
+    # A numbered row keeps the condition above the rebuilt text: pushed below, it would
+    # rebuild the text inside the condition, once for each sentence.
+    found = deduplicated(docs, id_column, text_column).withColumn("number", F.monotonically_increasing_id())
+    blank = F.trim(F.regexp_replace("kept_text", "\\s+", " ")) == ""
+    left = found.where((F.col("number") >= 0) & ~F.coalesce((F.col("n_dropped") > 0) & blank, F.lit(False)))
     return left.select(*[
         F.col("kept_text").alias(name) if name == text_column else F.col(f"row.`{name}`").alias(name)
         for name in docs.columns
