@@ -30,6 +30,8 @@ HEADLINE = [
     "status_report",
     "top10_needed_service",
     "tfidf_terms",
+    "default_selection",
+    "product_subcategory",
 ]
 
 

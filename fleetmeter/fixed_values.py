@@ -47,3 +47,8 @@ PERIOD_COLUMNS = {
     "semester": "semester_column_1",
     "year": "year_column",
 }
+
+# Patterns of name cleaning.
+WORD_WITH_DIGIT = r"\b\w*\d\w*\b"
+NO_LETTER = r"[^a-zA-Z\s]"
+BLANKS = r"\s+"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fleetmeter.fixed_values import BRANDS, PRICE_PREFIX, SCALES
+from fleetmeter.fixed_values import BLANKS, BRANDS, NO_LETTER, PRICE_PREFIX, SCALES, WORD_WITH_DIGIT
 
 
 def _decimal(column):
@@ -55,10 +55,10 @@ def clean_name(column):
     whole word never forms another.
     """
     brands = "|".join(BRANDS)
-    text = F.regexp_replace(column, r"(?U)\b\w*\d\w*\b", "")
+    text = F.regexp_replace(column, f"(?U){WORD_WITH_DIGIT}", "")
     text = F.regexp_replace(text, rf"(?iU)\b(?:{brands})\b", "")
-    text = F.regexp_replace(text, r"(?U)[^a-zA-Z\s]", "")
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    text = F.regexp_replace(text, f"(?U){NO_LETTER}", "")
+    return F.trim(F.regexp_replace(text, f"(?U){BLANKS}", " "))
 
 
 def first_words(column, count=2):
