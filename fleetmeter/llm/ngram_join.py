@@ -54,7 +54,8 @@ def shingle_sets(data, starts):
     hashes = word_hashes(lowered, begins, ends)
     count = len(hashes)
     sums = np.zeros(count, np.uint64)
-    for i, term in enumerate(_TERMS):
+    # A chunk may hold fewer words than a shingle.
+    for i, term in enumerate(_TERMS[:count]):
         sums[:count - i] += mixed(hashes[i:] * term + np.uint64(i))
     sums = mixed(sums)
     sets = []

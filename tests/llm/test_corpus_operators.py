@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetmeter.llm import neighbours, ngram_join, quality, toxicity
+from fleetmeter.llm import batches, neighbours, ngram_join, quality, toxicity
 from fleetmeter.llm.queries import QUERIES
 from tests.conftest import FOLDER
 
@@ -104,6 +104,18 @@ def test_join_of_nothing(documents):
     check_join(documents, [(1, "alone"), (2, None)])
 
 
+@pytest.mark.parametrize("text", ["hello world", "one two three"])
+def test_join_of_a_row_of_few_words(documents, text):
+    check_join(documents, [(1, text)])
+
+
+@pytest.mark.parametrize("text", ["hello world", "one two three"])
+def test_join_of_few_words_after_a_long_text(documents, text):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    assert len(long) > batches.CHUNK_BYTES
+    check_join(lambda rows: documents(rows).coalesce(1), [(1, text), (2, long), (3, text)])
+
+
 # --- neighbours ------------------------------------------------------------------
 
 
