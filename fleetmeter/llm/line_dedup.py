@@ -1,7 +1,8 @@
 """Line dedup by a tree of line templates.
 
 A line, and each sentence of a line that has several, is a unit. Tokens that hold a
-digit are variable fields and generalise to `<*>`. A unit goes down a tree of fixed
+digit are variable fields and generalise to `<*>`, where enough words are left to tell
+the template: rows of numbers, dates or table cells stand for themselves. A unit goes down a tree of fixed
 depth: first by its number of tokens, then by its leading tokens; a leaf holds the
 templates that have both in common, told apart by the rest of their generalised
 tokens. A template found in more than one document is dropped from all but the
@@ -26,6 +27,9 @@ LEADING_TOKENS = 3
 LINE_TOKENS = 3
 SENTENCE_TOKENS = 6
 
+#: Least tokens with a letter of a template with fields; they are also more than half of it.
+FIXED_TOKENS = 3
+
 VARIABLE = "[^\\s0-9]*+[0-9]\\S*"
 FIELD = "<*>"
 
@@ -60,6 +64,12 @@ def generalised(unit):
     return F.when(unit.rlike("[0-9]"), F.regexp_replace(unit, VARIABLE, FIELD)).otherwise(unit)
 
 
+def told_apart(template):
+    """Whether a template with fields has the words to be one."""
+    fixed = F.regexp_count(template, F.lit("\\p{L}\\S*"))
+    return (fixed >= FIXED_TOKENS) & (2 * fixed > tokens(template))
+
+
 def _occurrences(text, part):
     return (F.length(text) - F.length(_replaced(text, part, ""))) / F.lit(len(part))
 
@@ -74,7 +84,9 @@ def tree_places(sentences):
     The template's place in its leaf is a pair of 64-bit hashes, so that rows are small.
     """
     trimmed = F.transform(sentences, lambda s: F.btrim(s, F.lit(" \n")))
-    templates = F.transform(trimmed, generalised)
+    both = F.transform(trimmed, lambda s: F.struct(s.alias("unit"), generalised(s).alias("template")))
+    templates = F.transform(both, lambda b: F.when(
+        (b["unit"] == b["template"]) | told_apart(b["template"]), b["template"]).otherwise(b["unit"]))
     counted = F.transform(templates, lambda t: F.struct(
         F.when(t == "", 0).otherwise(tokens(t)).alias("tokens"), t.alias("template")))
     return F.transform(counted, lambda c: F.struct(

@@ -132,6 +132,18 @@ def test_line_dedup(documents):
     assert {r["doc_id"] for r in left.collect()} == {1, 2, 4, 5, 6, 7, 8, 9, None}
 
 
+def test_line_dedup_keeps_rows_of_numbers(documents):
+    rows = ["{0} {1} {2}", "{0}, {1}, {2}, {0}", "| {0} | {1} | {2} |", "2024-01-{0} 12:{1} {2}.5", "N {0}.1 E {1}.7 {2}",
+            "{0} kg {1} cm {2}", "3 May 20{0} {1}:{2}"]
+    texts = [(i, "\n".join(row.format(10 + i, 20 + i, 30 + i) for row in rows)) for i in range(4)]
+    texts += [(10, texts[0][1] + "\n99 98 97"), (11, "Build 17 took 3 seconds on host 12 today."),
+              (12, "Build 18 took 4 seconds on host 13 today.")]
+    kept = {r["row"]["doc_id"]: r["kept_text"] for r in line_dedup.deduplicated(documents(texts)).collect()}
+    assert [kept[i] for i in range(4)] == [t for _, t in texts[:4]]
+    # Equal rows and templates of words are repeated as before.
+    assert kept[10] == "99 98 97" and kept[11] == texts[5][1] and kept[12] == ""
+
+
 def test_line_dedup_text_is_kept_to_the_letter(documents):
     draw = random.Random(3)
     signs = [".", "! ", "? ", ". ", "\n", " ", "\x01", "\x02", "\x03", "a", "b7", "ü", "\n\n", ".  "]
