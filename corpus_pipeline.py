@@ -33,7 +33,10 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
 
 def keep_one_of_each_group(spark, docs, sf_dir):
-    """The document of the smallest id of each group of near copies."""
+    """The document of the smallest id of each group of near copies.
+
+    Rows are told apart by id alone: repeated rows of one id all stay, and so do rows without an id.
+    """
     found = ngram_join.joined(docs)
     copies = found.where("component <> id").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
