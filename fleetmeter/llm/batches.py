@@ -4,6 +4,8 @@ Tasks hand texts over as UTF-8 bytes. A batch is cut into chunks of bounded size
 never inside a text, so that numpy's scratch arrays stay small whatever the batch.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -100,3 +102,69 @@ def word_hashes(data, begins, ends):
 def binary_text(column="text"):
     """SQL of a text column as UTF-8 bytes, which tasks read without decoding."""
     return f"cast({column} as binary)"
+
+
+def _run_beyond(data, begin, table):
+    """End of the run of `table` bytes that starts at `begin`, read a slice at a time."""
+    at = begin
+    while at < len(data):
+        other = np.flatnonzero(~table[np.frombuffer(data, np.uint8, min(CHUNK_BYTES, len(data) - at), at)])
+        if len(other):
+            return at + int(other[0])
+        at += CHUNK_BYTES
+    return len(data)
+
+
+def slices(data, table):
+    """Cuts one long text between runs of `table` bytes: yields (begin, end, whole).
+
+    Slices are of CHUNK_BYTES at most; `whole` marks a single run longer than that,
+    which is a slice of its own.
+    """
+    begin = 0
+    while begin < len(data):
+        size = min(CHUNK_BYTES, len(data) - begin)
+        if begin + size == len(data):
+            yield begin, len(data), False
+            return
+        other = np.flatnonzero(~table[np.frombuffer(data, np.uint8, size, begin)])
+        if len(other):
+            yield begin, begin + int(other[-1]) + 1, False
+            begin += int(other[-1]) + 1
+        else:
+            end = _run_beyond(data, begin, table)
+            yield begin, end, True
+            begin = end
+
+
+def hashed_runs(data, starts, table, holding=None):
+    """Hashes of the runs of `table` bytes in a chunk, the number of runs before each text,
+    and, with `holding`, whether a run has a byte of that table.
+
+    A chunk longer than CHUNK_BYTES is one text; it is taken slice by slice, so scratch
+    arrays stay small and what remains is one hash for each run.
+    """
+    if len(data) <= CHUNK_BYTES:
+        array = np.frombuffer(data, np.uint8)
+        begins, ends, at = word_bounds(array, starts, table)
+        holds = None
+        if holding is not None:
+            sums = np.zeros(len(array) + 1, np.int64)
+            np.cumsum(holding[array], out=sums[1:])
+            holds = sums[ends] > sums[begins]
+        return word_hashes(array, begins, ends), at, holds
+    hashes, holds = [], []
+    for begin, end, whole in slices(data, table):
+        if whole:
+            digest = hashlib.blake2b(memoryview(data)[begin:end], digest_size=8).digest()
+            hashes.append(np.frombuffer(digest, np.uint64))
+            if holding is not None:
+                holds.append(np.array([any(
+                    holding[np.frombuffer(data, np.uint8, min(CHUNK_BYTES, end - i), i)].any()
+                    for i in range(begin, end, CHUNK_BYTES))]))
+        else:
+            own, _, held = hashed_runs(data[begin:end], np.array([0, end - begin]), table, holding)
+            hashes.append(own)
+            holds.append(held)
+    joined = np.concatenate(hashes)
+    return joined, np.array([0, len(joined)]), np.concatenate(holds) if holding is not None else None

@@ -1,6 +1,6 @@
 """SQL of the operators' queries: name -> text for DuckDB."""
 
-from fleetmeter.llm import license_scan, line_dedup
+from fleetmeter.llm import license_scan, line_dedup, quality_rules
 from fleetmeter.llm.url_filters import HOST_RULES, OWN_BLOCKED
 
 _LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -160,10 +160,62 @@ FROM sets JOIN reached ON sets.doc_id = reached.x GROUP BY sets.doc_id, own
 """
 
 
+def _quality_rules_sql():
+    """The counts word by word, the rules, and the hosts' shrunk rates."""
+    r = quality_rules
+    rules = {
+        "few_words": f"n_words < {r.LEAST_WORDS}",
+        "repeated_words": f"100 * n_repeat_words > {r.REPEATED_PERCENT} * n_words",
+        "symbols": f"100 * n_symbols > {r.SYMBOL_PERCENT} * n_words",
+        "duplicate_lines": f"100 * n_dup_lines > {r.DUPLICATE_LINES_PERCENT} * n_lines",
+        "word_length": f"word_chars < {r.WORD_LENGTHS[0]} * n_words OR word_chars > {r.WORD_LENGTHS[1]} * n_words",
+    }
+    by_rule = " UNION ALL ".join(
+        f"SELECT host, '{name}' AS rule, count(*) AS n, count(*) FILTER ({test}) AS f FROM counts GROUP BY host"
+        for name, test in rules.items())
+    solid = r"[^\x20\x09-\x0D]"
+    return rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '{solid}+') AS w FROM texts),
+windows AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS win
+            FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+twice AS (SELECT r, win FROM windows GROUP BY r, win HAVING count(*) > 1),
+repeated AS (SELECT r, count(DISTINCT k) AS n_repeat_words
+             FROM (SELECT r, unnest(range(i, i + 5)) AS k FROM windows JOIN twice USING (r, win)) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM texts),
+line_counts AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+                FROM lines WHERE regexp_matches(line, '{solid}') GROUP BY r),
+counts AS (
+  SELECT r, doc_id, host, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM words LEFT JOIN repeated USING (r) LEFT JOIN line_counts USING (r)),
+totals AS ({by_rule}),
+sums AS (SELECT rule, count(*) AS hosts, sum(n)::DOUBLE AS n, sum(f)::DOUBLE AS f, sum(n::DOUBLE * n) AS nn,
+                sum(f::DOUBLE * f / n) AS ff FROM totals GROUP BY rule),
+shares AS (
+  SELECT *, f / n AS mean, f / n * (1 - f / n) AS noise,
+         (ff - f * f / n - f / n * (1 - f / n) * (hosts - 1))
+         / nullif(f / n * (1 - f / n) * (n - nn / n - (hosts - 1)), 0) AS share FROM sums),
+priors AS (SELECT rule, mean, greatest({r.LEAST_SPREAD}::DOUBLE, least({r.MOST_SPREAD}::DOUBLE, coalesce(share, 0))) AS share
+           FROM shares),
+verdicts AS (
+  SELECT host, rule, ((1 - share) / share * mean + totals.f) / ((1 - share) / share + totals.n) > {r.HOST_RATE} AS rejected
+  FROM totals JOIN priors USING (rule)),
+rejected AS (SELECT host, string_agg(rule, ',' ORDER BY rule) AS by_rules FROM verdicts WHERE rejected GROUP BY host),
+judged AS (SELECT *, {rules["few_words"]} OR {rules["repeated_words"]} AS base_failed FROM counts)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND by_rules IS NULL AS kept, coalesce(by_rules, '') AS host_rejected_by
+FROM judged LEFT JOIN rejected ON judged.host IS NOT DISTINCT FROM rejected.host
+"""
+
+
 ORACLE = {
     "op1_license_scan": _license_sql(),
     "op3_decontamination": _DECONTAMINATION,
     "op4_line_dedup": _LINE_DEDUP,
     "op6_url_filters": _url_sql(),
     "op8_ngram_join": _NGRAM_JOIN,
+    "op11_quality_rules": _quality_rules_sql(),
 }

@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetmeter.llm import (
-    bpe, decontamination, license_scan, line_dedup, neighbours, ngram_join, personal_data, quality, toxicity, url_filters,
+    bpe, decontamination, license_scan, line_dedup, neighbours, ngram_join, personal_data, quality, quality_rules,
+    toxicity, url_filters,
 )
 
 QUERIES = {}
@@ -127,3 +128,13 @@ def op10_quality(spark, folder):
     found = quality.quality(docs, table(spark, folder, "labels"),
                             learnable=lambda known: toxicity.fold_of("id", 4) != 2)
     return found.select(*_score_columns("id", 4, 2, F.col("score"), quality.THRESHOLD))
+
+
+@query
+def op11_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    found = quality_rules.judged(docs)
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", F.array_join("host_rejected_by", ",").alias("host_rejected_by"),
+    )
