@@ -211,6 +211,64 @@ FROM judged LEFT JOIN rejected ON judged.host IS NOT DISTINCT FROM rejected.host
 """
 
 
+_CRC32 = (
+    "xor(4294967295::UBIGINT, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT), "
+    "lambda crc, byte: list_reduce(list_transform(range(8), lambda i: i::UBIGINT), lambda r, i: "
+    "CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END, xor(crc, byte)), 4294967295::UBIGINT))"
+)
+
+
+def _field(column):
+    return f"coalesce(octet_length(encode({column}::VARCHAR)) || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf(n_chars):
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_MERKLE = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+         CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS leaf_now FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, leaf_now) - 1 AS i FROM rows),
+trees AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY i) AS nodes FROM leaves GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(array_to_string(nodes[k + 1:k + 2], '')))
+  FROM trees WHERE len(nodes) > 1),
+subroots AS (SELECT lang, nodes[1] AS subroot, level AS height,
+                    row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM trees WHERE len(nodes) = 1),
+forest AS (
+  SELECT 0 AS level, list(subroot ORDER BY i) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(array_to_string(nodes[k + 1:k + 2], '')))
+  FROM forest WHERE len(nodes) > 1),
+top AS (SELECT nodes[1] AS root FROM forest WHERE len(nodes) = 1),
+steps AS (  -- the sibling at each level on the way up, NULL where there is none
+  SELECT l.lang, l.i, t.level, (l.i >> t.level) & 1 AS bit, t.nodes[xor(l.i >> t.level, 1) + 1] AS sibling
+  FROM leaves l JOIN trees t ON l.lang IS NOT DISTINCT FROM t.lang WHERE len(t.nodes) > 1
+  UNION ALL
+  SELECT l.lang, l.i, s.height + f.level, (s.i >> f.level) & 1, f.nodes[xor(s.i >> f.level, 1) + 1]
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang, forest f WHERE len(f.nodes) > 1),
+proofs AS (
+  SELECT lang, i, coalesce(string_agg(sibling, '' ORDER BY level), '') AS proof,
+         list({{'bit': bit, 'sibling': sibling}} ORDER BY level) AS path FROM steps GROUP BY lang, i),
+folds AS (
+  SELECT l.lang, l.i, leaf_now AS digest, 0 AS done, coalesce(path, []) AS path
+  FROM leaves l LEFT JOIN proofs p ON l.lang IS NOT DISTINCT FROM p.lang AND l.i = p.i
+  UNION ALL
+  SELECT lang, i, sha256(CASE WHEN path[done + 1].sibling IS NULL THEN digest
+                              WHEN path[done + 1].bit = 1 THEN path[done + 1].sibling || digest
+                              ELSE digest || path[done + 1].sibling END), done + 1, path
+  FROM folds WHERE done < len(path))
+SELECT l.doc_id, l.leaf, s.subroot, top.root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+       f.digest AS folded_root, f.digest = top.root AS verified
+FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+LEFT JOIN proofs p ON l.lang IS NOT DISTINCT FROM p.lang AND l.i = p.i
+JOIN folds f ON l.lang IS NOT DISTINCT FROM f.lang AND l.i = f.i AND f.done = len(f.path), top
+"""
+
+
 ORACLE = {
     "op1_license_scan": _license_sql(),
     "op3_decontamination": _DECONTAMINATION,
@@ -218,4 +276,5 @@ ORACLE = {
     "op6_url_filters": _url_sql(),
     "op8_ngram_join": _NGRAM_JOIN,
     "op11_quality_rules": _quality_rules_sql(),
+    "op13_merkle_manifest": _MERKLE,
 }

@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetmeter.llm import (
-    bpe, decontamination, license_scan, line_dedup, neighbours, ngram_join, personal_data, quality, quality_rules,
-    toxicity, url_filters,
+    bpe, decontamination, license_scan, line_dedup, merkle, neighbours, ngram_join, personal_data, quality,
+    quality_rules, toxicity, url_filters,
 )
 
 QUERIES = {}
@@ -138,3 +138,27 @@ def op11_quality_rules(spark, folder):
         F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.array_join("host_rejected_by", ",").alias("host_rejected_by"),
     )
+
+
+#: Every so manieth checksum of an id is one whose row is changed after the manifest was made.
+TAMPERED = 7
+
+
+@query
+def op13_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % TAMPERED == 0, F.lit(False))
+
+    def leaf(n_chars):
+        return merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    now = F.when(tampered, leaf(F.col("n_chars") + 1)).otherwise(leaf(F.col("n_chars")))
+    made = merkle.manifest(
+        docs.select(F.col("lang").alias("tree"), F.col("doc_id").alias("id"), leaf(F.col("n_chars")).alias("leaf"),
+                    now.alias("leaf_now")), ["leaf_now"])
+    found = made.withColumn("folded_root", merkle.folded(F.col("leaf_now"), F.col("path")))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
