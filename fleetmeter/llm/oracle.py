@@ -211,6 +211,25 @@ FROM judged LEFT JOIN rejected ON judged.host IS NOT DISTINCT FROM rejected.host
 """
 
 
+_RANKED = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
+items AS (SELECT row_number() OVER () AS item, item_id, {_words("text")} AS w FROM benchmark),
+sizes AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs),
+postings AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM postings, sizes GROUP BY term, n_docs),
+wanted AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(w) AS term FROM items) GROUP BY item, term),
+products AS (
+  SELECT r, term, w.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(docs.w) * n_docs) // n_terms))) AS product
+  FROM postings JOIN docs USING (r) JOIN weights w USING (term), sizes),
+scores AS (SELECT item, r, sum(times * product) AS score FROM wanted JOIN products USING (term) GROUP BY item, r),
+placed AS (SELECT item, item_id, doc_id, score,
+                  row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS place
+           FROM scores JOIN docs USING (r) JOIN items USING (item) WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score::BIGINT AS score FROM placed WHERE place <= 10
+"""
+
+
 _CRC32 = (
     "xor(4294967295::UBIGINT, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT), "
     "lambda crc, byte: list_reduce(list_transform(range(8), lambda i: i::UBIGINT), lambda r, i: "
@@ -276,5 +295,6 @@ ORACLE = {
     "op6_url_filters": _url_sql(),
     "op8_ngram_join": _NGRAM_JOIN,
     "op11_quality_rules": _quality_rules_sql(),
+    "op12_ranked_search": _RANKED,
     "op13_merkle_manifest": _MERKLE,
 }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetmeter.llm import (
     bpe, decontamination, license_scan, line_dedup, merkle, neighbours, ngram_join, personal_data, quality,
-    quality_rules, toxicity, url_filters,
+    quality_rules, ranked_search, toxicity, url_filters,
 )
 
 QUERIES = {}
@@ -140,6 +140,13 @@ def op11_quality_rules(spark, folder):
     )
 
 
+@query
+def op12_ranked_search(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = ranked_search.ranked(docs, table(spark, folder, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 #: Every so manieth checksum of an id is one whose row is changed after the manifest was made.
 TAMPERED = 7
 
