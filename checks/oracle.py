@@ -6,7 +6,7 @@ counts the pairs instead.
 """
 
 from checks.queries import (
-    AS_OF, CATEGORIES, CODES, FIRST_DAY, LAST_DAY, LISTED_COLUMNS, PAGE_LAST, PERIODS, PRODUCTS,
+    AS_OF, CATEGORIES, CODES, DEEP_PAGE, FIRST_DAY, LAST_DAY, LISTED_COLUMNS, PAGE_LAST, PERIODS, PRODUCTS,
 )
 from fleetmeter.fixed_values import BRANDS, STATUSES
 
@@ -112,9 +112,11 @@ SELECT source, asset_category, asset_code, date, product_name FROM fact WHERE {I
 over_fact("filter_by_asset", f"""
 SELECT source, asset_category, asset_code, date, product_name FROM fact WHERE {IN_CODES}""")
 over_fact("filter_by_table", f"""
-SELECT source, asset_code, date FROM fact WHERE EXISTS (
-  SELECT 1 FROM fact AS used WHERE used.product_name = '{PRODUCTS[0]}'
-    AND used.asset_code IS NOT DISTINCT FROM fact.asset_code)""")
+SELECT source, asset_code, date FROM fact
+WHERE asset_code IN (SELECT asset_code FROM users WHERE asset_code IS NOT NULL)
+   OR (asset_code IS NULL AND EXISTS (SELECT 1 FROM users WHERE asset_code IS NULL))""", f""",
+users AS MATERIALIZED (SELECT DISTINCT asset_code FROM fact WHERE product_name = '{PRODUCTS[0]}')
+""")
 over_fact("filter_product_on_cost_rows", f"""
 SELECT source, asset_code, date, product_name, total_price FROM fact WHERE source = 'hm_record'
 UNION ALL
@@ -293,6 +295,14 @@ SELECT month_column_1, asset_category, {MONEY} AS total_price, {HOURS} AS hours
 FROM trend GROUP BY 1, 2""")
 over_trend("cost_vs_hours_day", "asset", "day", f"""
 SELECT date_only, asset_code, {MONEY} AS total_price, {HOURS} AS hours FROM trend GROUP BY 1, 2""")
+# A day summary gives the rows the fact gives.
+for _name, _same in {
+    **{f"summary_trend_{of}": f"trend_{of}" for of in
+       ["asset_day", "asset_week", "category_day", "category_quarter", "category_year"]},
+    "summary_cost_line": "cost_line_category", "summary_hours_in_periods": "hours_in_period_range",
+    "summary_cost_vs_hours": "cost_vs_hours",
+}.items():
+    ORACLE[_name] = ORACLE[_same]
 over_trend("reset_events", "asset", "day", """
 SELECT date_only AS date, asset_code || ' hour meter is reset' AS annotation
 FROM trend WHERE reset_hm = 'true'""")
@@ -437,15 +447,17 @@ over_service("top10_needed_service", """
 SELECT *, row_number() OVER (ORDER BY "count" DESC, asset_category, asset_code, asset_name) AS pos
 FROM needed QUALIFY pos <= 10""", NEEDED)
 SHOWN_ROWS = f"SELECT * FROM rows_ WHERE status IN ({listed(STATUSES)})"
-over_service("status_page", f"""
+STATUS_PAGE = f"""
 SELECT asset_category, asset_code, asset_name, product_name, status, service_count,
        latest_product_maintained_at, maintained_hour_meter, latest_asset_used_at,
-       latest_used_hour_meter, avg_service, hours_after_maintained, place - 20 AS pos
+       latest_used_hour_meter, avg_service, hours_after_maintained, place - {{start}} AS pos
 FROM (SELECT *, row_number() OVER (ORDER BY service_number NULLS LAST, asset_category NULLS LAST,
         asset_code NULLS LAST, asset_name NULLS LAST, product_name NULLS LAST,
         service_count NULLS LAST) AS place
       FROM ({SHOWN_ROWS}))
-WHERE place > 20 AND place <= 40""")
+WHERE place > {{start}} AND place <= {{start}} + 20"""
+over_service("status_page", STATUS_PAGE.format(start=20))
+over_service("status_page_deep", STATUS_PAGE.format(start=20 * DEEP_PAGE))
 _LAST = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in PAGE_LAST.values())
 over_service("status_page_after", f"""
 SELECT asset_category, asset_code, asset_name, product_name, status, service_count,
@@ -549,6 +561,10 @@ _BY_SUBCATEGORY = (
 )
 over_fact("status_report_subcategory", "SELECT * FROM report", MAPPED + _BY_SUBCATEGORY)
 over_fact("status_filtered_subcategory", f"""
-SELECT * FROM report WHERE {IN_REPORT} AND EXISTS (
-  SELECT 1 FROM report AS other WHERE {member('other.asset_category', CATEGORIES[:1])}
-    AND other.product_subcategory IS NOT DISTINCT FROM report.product_subcategory)""", MAPPED + _BY_SUBCATEGORY)
+SELECT * FROM kept WHERE {IN_REPORT} AND (
+  product_subcategory IN (SELECT product_subcategory FROM chosen WHERE product_subcategory IS NOT NULL)
+  OR (product_subcategory IS NULL AND EXISTS (SELECT 1 FROM chosen WHERE product_subcategory IS NULL)))""",
+          MAPPED + _BY_SUBCATEGORY + f""",
+kept AS MATERIALIZED (SELECT * FROM report),
+chosen AS MATERIALIZED (SELECT DISTINCT product_subcategory FROM kept WHERE {member('asset_category', CATEGORIES[:1])})
+""")

@@ -23,6 +23,7 @@ PRODUCTS = ["red widget", "blue bolt", None]
 FIRST_DAY, LAST_DAY = "1997-03-01", "1998-04-30"
 AS_OF = "1999-06-30 12:00:00"
 PERIODS = ("1997-03", "1998-04")
+DEEP_PAGE = 150
 PAGE_LAST = {
     "service_number": 100, "asset_category": "NATION_3", "asset_code": "Supplier#000000003",
     "asset_name": "Unit 3", "product_name": "red widget", "service_count": 1,
@@ -283,6 +284,22 @@ for _entity in trend.ENTITIES:
         _trend(_entity, _grain)
 
 
+def _summary_queries():
+    """Trends and rollups out of a written day summary instead of the fact."""
+    def register(name, function):
+        QUERIES[name] = lambda spark, folder: function(
+            staged(trend.day_summary(star_fact(spark, folder)), "day-summary"))
+
+    for entity, grain in [("asset", "day"), ("asset", "week"), ("category", "day"), ("category", "quarter"), ("category", "year")]:
+        register(f"summary_trend_{entity}_{grain}", lambda rows, e=entity, g=grain: trend.trend(rows, e, g))
+    register("summary_cost_line", lambda rows: trend.cost_line(rows, "category", "week"))
+    register("summary_hours_in_periods", lambda rows: trend.hours_in_periods(rows, "asset", "month", PERIODS))
+    register("summary_cost_vs_hours", lambda rows: trend.cost_versus_hours(rows, "category", "month"))
+
+
+_summary_queries()
+
+
 @query
 def trend_asset_selected(fact):
     """All filters of the day view at once."""
@@ -489,6 +506,12 @@ def status_page_after(history):
     return service_status.detail_page_after(history, PAGE_LAST)
 
 
+@history_query
+def status_page_deep(history):
+    """A page far down, by its number."""
+    return service_status.DetailPages(history).page(DEEP_PAGE)
+
+
 @history_query
 def status_page_count(history):
     return service_status.detail_page_count(history)
@@ -558,7 +581,7 @@ def status_report_subcategory(fact):
 
 @query
 def status_filtered_subcategory(fact):
-    report = _history_by_subcategory(fact).report()
+    report = staged(_history_by_subcategory(fact).report(), "report")
     chosen = subcategory.subcategory_options(report, CATEGORIES[:1])
     by_asset = service_status.filtered(report, categories=CATEGORIES)
     return predicates.in_table(by_asset, "product_subcategory", chosen)

@@ -15,15 +15,21 @@ from fleetmeter.sources.staging import staged
 _PLACE = (1 << 33) - 1
 
 
-def in_order(df, order, label):
+def in_order(df, order, label, stretches=None, apart=False):
     """`df` written in order, with `stretch` and `place`: where in its stretch a row stands, from 0.
 
     `order` is a list of sort expressions. Rows it does not tell apart come in any order.
+    `stretches` is how many there are, by default as many as the size asks for; `apart`
+    gives each a folder of its own, so that a reader of one opens no file of another.
     """
     # The number holds the partition in its upper bits and the row in its lower 33.
     place = F.monotonically_increasing_id().bitwiseAND(_PLACE)
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return staged(ordered.select("*", F.spark_partition_id().alias("stretch"), place.alias("place")), label)
+    ordered = df.repartitionByRange(*[stretches] * bool(stretches), *order).sortWithinPartitions(*order)
+    placed = ordered.select("*", F.spark_partition_id().alias("stretch"), place.alias("place"))
+    if apart:
+        # Written by folder; a stated order spares the writer a sort that would lose ours.
+        return staged(placed.sortWithinPartitions("stretch", "place"), label, by=["stretch"])
+    return staged(placed, label)
 
 
 def beginnings(written, groups=(), size=None):

@@ -24,11 +24,17 @@ def is_member(column, values):
 def in_table(df, column, table):
     """Rows whose `column` occurs in the one column of `table`, NULL included.
 
-    For selections too long for a list. The join strategy is left to Spark, which
-    broadcasts `table` only below its size threshold.
+    For selections too long for a list. Values are joined by plain equality, so that a
+    selection too large to broadcast can still reach the scan of `df` as a run-time Bloom
+    filter, and rows of NULL do not gather in one task; these come by a branch of their own,
+    which asks once whether the selection has a NULL. `df` is read by both branches.
     """
     listed = table.select(F.col(table.columns[0]).alias("_listed"))
-    return df.join(listed, df[column].eqNullSafe(F.col("_listed")), "left_semi")
+    values = df.where(df[column].isNotNull()).join(
+        listed.where(F.col("_listed").isNotNull()), df[column] == F.col("_listed"), "left_semi")
+    # One row.
+    has_null = listed.agg(F.coalesce(F.bool_or(F.col("_listed").isNull()), F.lit(False))).scalar()
+    return values.unionByName(df.where(df[column].isNull() & has_null))
 
 
 def within_days(column, first, last):

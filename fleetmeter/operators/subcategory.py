@@ -1,19 +1,16 @@
 """Product subcategories from free-text names.
 
-All text work runs on distinct names with their row counts, not on the rows.
+All text work runs on distinct names with their row counts, not on the rows. Terms,
+their weights and the clusters' centres are tables: no vocabulary reaches the driver.
 """
 
-from functools import reduce
-
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fleetmeter.fixed_values import SUBCATEGORY_CLUSTERS
 from fleetmeter.functions.text import clean_name, first_words, word_count
 from fleetmeter.operators.predicates import optional
+from fleetmeter.operators.sparse_kmeans import sparse_kmeans
 from fleetmeter.sources.staging import staged
 
 NAME = "cleaned_product_name"
@@ -43,60 +40,33 @@ def several_words(names):
 
 
 def _documents(names):
-    """Distinct cleaned names with their rows and terms of two letters or more."""
-    terms = F.filter(F.split(F.lower(NAME), " "), lambda term: F.length(term) >= 2)
-    return names.groupBy(NAME).agg(F.sum("rows").alias("rows")).withColumn("terms", terms)
-
+    """Distinct cleaned names with their rows and terms of two letters or more, written once.
 
-def _term_counts(documents):
-    return documents.select(NAME, "rows", F.explode("terms").alias("term")).groupBy(
-        NAME, "rows", "term"
-    ).agg(F.count("*").alias("occurrences"))
+    A name has two words at most, so how often it has a term is counted inside its row.
+    """
+    words = F.filter(F.split(F.lower(NAME), " "), lambda term: F.length(term) >= 2)
+    counted = F.transform(F.array_distinct("words"), lambda term: F.struct(
+        term.alias("term"), F.size(F.filter("words", lambda word: word == term)).alias("occurrences")))
+    documents = names.groupBy(NAME).agg(F.sum("rows").alias("rows")).withColumn("words", words)
+    return staged(documents.withColumn("terms", counted).drop("words"), "names")
 
 
-def _rarity(documents):
-    """Smoothed inverse frequency per term: every row counts as one document."""
+def _weights(documents):
+    """(name, rows, term, weight) of written documents; a name's weights have length 1."""
+    terms = documents.select(NAME, "rows", F.explode("terms").alias("of")).select(NAME, "rows", "of.*")
+    # Every row counts as one document.
     total = documents.agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
-    return _term_counts(documents).groupBy("term").agg(F.sum("rows").alias("term_rows")).select(
-        "term", (F.log((1 + total) / (1 + F.col("term_rows"))) + 1).alias("rarity")
-    )
-
-
-def term_weights(names):
-    """Weight of each term in each cleaned name; a name's weights have length 1."""
-    documents = _documents(names)
+    rarity = terms.groupBy("term").agg(F.sum("rows").alias("term_rows")).select(
+        "term", (F.log((1 + total) / (1 + F.col("term_rows"))) + 1).alias("rarity"))
     value = F.col("occurrences") * F.col("rarity")
-    # A name has two words at most, so a window holds two rows.
+    # A window holds two rows.
     length = F.sqrt(F.sum(value * value).over(Window.partitionBy(NAME)))
-    return _term_counts(documents).join(_rarity(documents), "term").select(
-        NAME, "rows", "term", (value / length).alias("weight")
-    )
-
+    return terms.join(rarity, "term").select(NAME, "rows", "term", (value / length).alias("weight"))
 
-def _clusters(names, clusters, seed):
-    """Cluster number per cleaned name, by k-means on the term weights.
 
-    Names weigh as many points as they have rows. What reaches the driver is the
-    model itself: the vocabulary, one number per term, and the centres.
-    """
-    documents = _documents(names)
-    rarity = {row["term"]: row["rarity"] for row in _rarity(documents).toLocalIterator()}
-    if not rarity:
-        # No term at all: each name keeps its words.
-        return documents.select(NAME, F.lit(None).cast("int").alias("cluster"))
-    counted = CountVectorizer(
-        inputCol="terms", outputCol="counts", vocabSize=len(rarity), minDF=1.0
-    ).fit(documents)
-    scale = Vectors.dense([rarity[term] for term in counted.vocabulary])
-    steps = [
-        counted,
-        ElementwiseProduct(scalingVec=scale, inputCol="counts", outputCol="scaled"),
-        Normalizer(p=2.0, inputCol="scaled", outputCol="features"),
-    ]
-    points = reduce(lambda df, step: step.transform(df), steps, documents)
-    points = points.withColumn("rows", F.col("rows").cast("double"))
-    model = KMeans(k=clusters, seed=seed, weightCol="rows", predictionCol="cluster").fit(points)
-    return model.transform(points).select(NAME, "cluster")
+def term_weights(names):
+    """Weight of each term in each cleaned name."""
+    return _weights(_documents(names))
 
 
 def _labels(weights, assigned):
@@ -119,11 +89,12 @@ def subcategories(rows, clusters=SUBCATEGORY_CLUSTERS, seed=0):
     A one-word name is its own; longer names take the label of their cluster, or
     keep their words where these have no term; empty names have none.
     """
-    names = product_names(rows)
+    names = staged(product_names(rows), "product-names")
     several = several_words(names)
-    assigned = staged(_clusters(several, clusters, seed), "clusters")
-    labels = _labels(term_weights(several), assigned)
-    labelled = several.join(assigned, NAME).join(labels, "cluster", "left").select(
+    weights = staged(_weights(_documents(several)), "weights")
+    assigned = sparse_kmeans(weights, clusters, seed)
+    labels = _labels(weights, assigned)
+    labelled = several.join(assigned, NAME, "left").join(labels, "cluster", "left").select(
         "product_name", F.coalesce("label", NAME).alias("product_subcategory")
     )
     single = one_word(names).select("product_name", F.col(NAME).alias("product_subcategory"))

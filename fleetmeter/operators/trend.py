@@ -4,12 +4,45 @@ from pyspark.sql import functions as F
 
 from fleetmeter.fixed_values import PERIOD_COLUMNS, RESET_FLAG, RESET_MESSAGE
 from fleetmeter.functions.dates import period_bounds, period_label, period_start
-from fleetmeter.functions.numbers import exact_sum, total_or_zero, total_price
+from fleetmeter.functions.numbers import (
+    exact_parts, exact_sum, merged_sum, part_names, total_or_zero, total_price,
+)
 from fleetmeter.operators.predicates import in_date_range, is_member, product_on_cost_rows, within_days
 
 ENTITIES = {"asset": "asset_code", "category": "asset_category"}
 
 
+#: Column of a summary's highest reading of a day.
+HIGHEST = "highest_hour_meter_per_date"
+AMOUNTS = ("total_price", "hour_meter_per_date")
+
+
+def day_summary(fact):
+    """One row per source, asset, reset flag, product and day, which adds up to any trend.
+
+    Sums are kept in the parts they are added in, so longer periods and whole categories
+    have the totals their rows have, to the last digit; a day's hours keep their highest
+    reading. Write it once: every function of this module takes it in place of the fact.
+    Times of day are gone: a selection may not end inside a day.
+    """
+    labels = [name for name in PERIOD_COLUMNS.values() if name in fact.columns]
+    day = F.date_trunc("day", "date").cast("timestamp_ntz").alias("date")
+    return fact.groupBy("source", "asset_category", "asset_code", "reset_hm", "product_name", day, *labels).agg(
+        *[part for amount in AMOUNTS for part in exact_parts(amount)],
+        F.max("hour_meter_per_date").alias(HIGHEST))
+
+
+def _is_summary(rows):
+    return HIGHEST in rows.columns
+
+
+def _total(rows, amount):
+    """Sum of an amount over rows of the fact or of a summary; 0 where no row has a value."""
+    if _is_summary(rows) and part_names(amount)[0] in rows.columns:
+        return F.coalesce(merged_sum(amount).cast("double"), F.lit(0.0)).alias(amount)
+    return total_or_zero(amount).alias(amount)
+
+
 def select_rows(fact, entity="asset", chosen=None, products=None, days=None, as_of=None):
     """Rows behind a trend: chosen entities, date range, products of cost rows.
 
@@ -52,18 +85,18 @@ def _group(rows, grain, before, after, aggregates):
     return values.select(*before, label, *after, *rest)
 
 
-def _hours(grain):
+def _hours(rows, grain):
     """A day's hours are its highest reading; longer periods add up."""
     if grain == "day":
-        return F.max("hour_meter_per_date")
-    return total_or_zero("hour_meter_per_date")
+        highest = HIGHEST if _is_summary(rows) else "hour_meter_per_date"
+        return F.max(highest).alias("hour_meter_per_date")
+    return _total(rows, "hour_meter_per_date")
 
 
 def trend_rows(rows, entity="asset", grain="month"):
     """The trend without its order."""
     before, after = _keys(entity)
-    values = [total_price().alias("total_price"), _hours(grain).alias("hour_meter_per_date")]
-    return _group(rows, grain, before, after, values)
+    return _group(rows, grain, before, after, [_total(rows, "total_price"), _hours(rows, grain)])
 
 
 def trend_order(entity, grain):
@@ -87,7 +120,7 @@ def cost_line(rows, entity="asset", grain="month"):
 
     Straight from the rows: the sum of the trend's sums is the sum of the rows.
     """
-    return _group(rows, grain, [], [ENTITIES[entity]], [total_price().alias("total_price")])
+    return _group(rows, grain, [], [ENTITIES[entity]], [_total(rows, "total_price")])
 
 
 def cost_at(rows, entity, grain, label):
@@ -116,7 +149,7 @@ def hours_in_periods(rows, entity="asset", grain="month", periods=None):
     name = ENTITIES[entity]
     if grain == "day":
         rows = trend_rows(rows, entity, grain)
-    return rows.groupBy(name).agg(total_or_zero("hour_meter_per_date").alias("hours"))
+    return rows.groupBy(name).agg(_total(rows, "hour_meter_per_date").alias("hours"))
 
 
 def cost_versus_hours(rows, entity="asset", grain="month"):
@@ -126,7 +159,7 @@ def cost_versus_hours(rows, entity="asset", grain="month"):
         return trend_rows(rows, entity, grain).groupBy(period, name).agg(
             total_price().alias("total_price"), total_or_zero("hour_meter_per_date").alias("hours")
         )
-    values = [total_price().alias("total_price"), total_or_zero("hour_meter_per_date").alias("hours")]
+    values = [_total(rows, "total_price"), _total(rows, "hour_meter_per_date").alias("hours")]
     return _group(rows, grain, [], [ENTITIES[entity]], values)
 
 

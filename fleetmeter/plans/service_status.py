@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetmeter.fixed_values import REPORT_PAGE, STATUSES
 from fleetmeter.operators import intervals, maintenance, ranking, status
-from fleetmeter.operators.paging import ascending, page, page_after, page_count
+from fleetmeter.operators.paging import PageDirectory, ascending, page, page_after, page_count
 from fleetmeter.operators.predicates import is_member, optional
 from fleetmeter.sources.shaping import cost_rows
 from fleetmeter.sources.staging import staged
@@ -119,6 +119,21 @@ def detail_page_after(history, last, statuses=None, size=REPORT_PAGE, **selectio
     return _on_page(history, rows, page_after(rows, PAGE_ORDER, size, last))
 
 
+class DetailPages:
+    """The report's pages by number: written in order once, then read page by page."""
+
+    def __init__(self, history, statuses=None, stretches=None, **selections):
+        rows = detail(filtered(history.classified(), **selections), statuses)
+        self.names = status.report_columns(rows, history.extra).columns
+        self.directory = PageDirectory(rows, PAGE_ORDER, stretches)
+
+    def page(self, number=0, size=REPORT_PAGE):
+        return self.directory.page(size, number).select(*self.names, "pos")
+
+    def counts(self, size=REPORT_PAGE):
+        return self.directory.counts(size)
+
+
 def _on_page(history, rows, paged):
     names = status.report_columns(rows, history.extra).columns
     return ranking.numbered(paged, PAGE_ORDER).select(*names, "pos")

@@ -217,3 +217,78 @@ def test_shared_service_number_does_not_multiply(maintenance_fact):
     paired = maintenance.consumption_services(shaping.cost_rows(fact), how="inner", read=read)
     assert paired.count() == 2 * many
     assert maintenance.matched_services(shaping.cost_rows(fact), read).count() == 2 * many
+
+
+@pytest.mark.parametrize("seed, few", [(1, 0), (2, 1), (3, 2), (7, 0), (8, 3)])
+def test_busy_numbers_change_no_report(maintenance_fact, monkeypatch, seed, few):
+    """Numbers of more than `few` days take the way of busy ones."""
+    monkeypatch.setattr(maintenance, "FEW_DAYS", few)
+    rows = random_rows(seed)
+    expected, _ = brute_force.status_report(rows)
+    assert rounded(ServiceHistory(maintenance_fact(rows)).report().collect()) == rounded(expected)
+
+
+def _shared_number(spark, assets, read_on):
+    """A fact of one number on as many assets as days, as a table; `read_on` gives each asset's reading days."""
+    rows = spark.range(assets).select("id", F.explode(F.concat(F.array(F.lit(-1).cast("long")), read_on)).alias("on"))
+    base = F.lit("2000-01-01").cast("timestamp_ntz")
+    day = lambda number: base + F.make_dt_interval(number.cast("int"))
+    service_row, code = F.col("on") < 0, F.concat(F.lit("X"), F.col("id").cast("string"))
+    at = F.when(service_row, F.col("id")).otherwise(F.col("on"))
+    values = {
+        "source": F.when(service_row, "good_consume").otherwise("hm_record"), "asset_category": F.lit("C"),
+        "asset_code": code, "asset_name": code, "date": day(at), "due_date": F.when(service_row, day(at)),
+        "product_id": F.when(service_row, 1), "product_name": F.when(service_row, "pump"),
+        "consume_id_good_consume": F.when(service_row, 0), "consume_id_assignment": F.when(service_row, 0),
+        "fix_hm_record": F.when(service_row, F.col("id")), "total_hour_meter": F.when(~service_row, F.col("on")),
+    }
+    return rows.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in MAINTENANCE_SCHEMA])
+
+
+@pytest.mark.parametrize("often", [False, True])
+def test_number_of_many_assets_and_days(spark, often):
+    """5,000 assets and 5,000 days of one number; assets read on two days, or one on every day, too."""
+    many = 5000
+    own = F.array(F.col("id"), (F.col("id") * 7 + 1) % many)
+    read_on = F.when(F.col("id") == 3, F.sequence(F.lit(0), F.lit(many - 1))).otherwise(own) if often else own
+    fact = _shared_number(spark, many, F.array_distinct(read_on).cast("array<bigint>"))
+    read = maintenance.reading_days(maintenance.hour_readings(fact))
+    costs = shaping.cost_rows(fact)
+    matched = maintenance.matched_services(costs, read)
+    days = maintenance.service_days(maintenance.service_events(costs))
+    pairs = maintenance.pairs_to_serve(maintenance.consumption(costs), maintenance.busy_numbers(days), read)
+    tried = [part.count() for part in maintenance.days_to_try(pairs, days, read)]
+    found, result = matched.count(), read.count()
+    assert found == result >= 2 * many - 10
+    assert sum(tried) <= found
+
+
+@pytest.mark.parametrize("rows, stretches", [(0, 3), (1, 3), (97, 1), (97, 8), (97, 60)])
+def test_page_directory(spark, rows, stretches):
+    frame = spark.range(rows).select(
+        F.when(F.col("id") % 9 > 0, F.col("id") * 31 % 10).alias("a"), F.concat(F.lit("r"), "id").alias("b"))
+    order = [("a", False), ("b", True)]
+    directory = paging.PageDirectory(frame, order, stretches)
+    whole = [tuple(r) for r in paging.page(frame, order, max(rows, 1)).collect()]
+    assert directory.counts(10) == (rows, -(-rows // 10))
+    for number in range(-(-rows // 10) + 1):
+        found = directory.page(10, number).collect()
+        assert [tuple(r)[:-1] for r in found] == whole[number * 10:number * 10 + 10]
+        assert [r["pos"] for r in found] == [*range(1, len(found) + 1)]
+
+
+def test_deep_page_reads_as_little_as_the_first(spark):
+    directory = paging.PageDirectory(spark.range(100_000), [("id", True)], 20)
+    for number in (0, 4_990):
+        page = directory.page(20, number)
+        assert page.count() == 20
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and "stretch" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_detail_pages_by_number(star_history):
+    pages = plan.DetailPages(star_history, stretches=7)
+    assert pages.counts() == (4205, 211)
+    for number in (0, 100, 210):
+        assert sorted(map(str, pages.page(number).collect())) == sorted(
+            map(str, plan.detail_page(star_history, number).collect()))

@@ -1,9 +1,12 @@
 """Product subcategories."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from fleetmeter.operators import subcategory
+from fleetmeter.operators import sparse_kmeans, subcategory
+from fleetmeter.sources.staging import staged
 from fleetmeter.plans.service_status import status_report
 from fleetmeter.sources.shaping import cost_rows
 from fleetmeter.sources.star import star_fact
@@ -55,3 +58,71 @@ def test_report_by_subcategory(spark):
     # unnamed products are left out with their rows.
     plain = status_report(fact, cost_rows(fact).where("product_name IS NOT NULL"))
     assert report.exceptAll(plain).count() == 0 and plain.exceptAll(report).count() == 0
+
+
+def plain_lloyd(points, centres, rounds):
+    """points: name -> (rows, vector), centres: name -> vector, vectors as dicts; centre of each point."""
+    def dot(a, b):
+        return sum(v * b.get(t, 0.0) for t, v in a.items())
+
+    before = None
+    for _ in range(rounds + 1):
+        lengths = {c: dot(v, v) for c, v in centres.items()}
+        found = {p: min((round(lengths[c] - 2 * dot(v, centres[c]), 12), c) for c in centres)[1]
+                 for p, (_, v) in points.items()}
+        if found == before:
+            break
+        before, centres = found, {}
+        for c in set(found.values()):
+            own = [points[p] for p in found if found[p] == c]
+            size = sum(rows for rows, _ in own)
+            centres[c] = {t: sum(rows * v.get(t, 0.0) for rows, v in own) / size for t in {t for _, v in own for t in v}}
+    return before
+
+
+@pytest.mark.parametrize("seed, clusters, rounds", [(1, 5, 20), (2, 9, 20), (3, 3, 1)])
+def test_clusters_equal_plain_lloyd(spark, seed, clusters, rounds):
+    rng = random.Random(seed)
+    words = ["oil", "air", "fuel", "filter", "pump", "hose", "belt", "seal", "cap", "rod", "x"]
+    values = [f"{rng.choice(words)} {rng.choice(words)}" for _ in range(150)]
+    named = subcategory.several_words(subcategory.product_names(names(spark, values)))
+    weights = staged(subcategory.term_weights(named), "weights")
+    _, points = sparse_kmeans.distinct_points(weights)
+    start = sparse_kmeans.starting_centres(points, clusters, seed)
+    as_vectors = lambda rows, key: {k: {r["term"]: r["weight"] for r in rows if r[key] == k} for k in {r[key] for r in rows}}
+    rows = points.collect()
+    vectors, sizes = as_vectors(rows, "point"), {r["point"]: r["rows"] for r in rows}
+    begin = as_vectors(start.collect(), "cluster")
+    assert len(begin) == clusters < len(vectors)
+    expected = plain_lloyd({p: (sizes[p], v) for p, v in vectors.items()}, begin, rounds)
+    found = sparse_kmeans.sparse_kmeans(weights, clusters, seed, rounds).collect()
+    place = {r["cleaned_product_name"]: r["point"] for r in sparse_kmeans.distinct_points(weights)[0].collect()}
+    assert {r["cleaned_product_name"]: r["cluster"] for r in found} == {n: expected[p] for n, p in place.items()}
+    assert 1 < len({r["cluster"] for r in found}) <= clusters
+
+
+def test_heavier_points_start_more_often(spark):
+    points = spark.createDataFrame([(f"p{i}", 1 + 999 * (i % 10 == 0), "t", 1.0) for i in range(100)],
+                                   "point string, rows bigint, term string, weight double")
+    drawn = [r[0] for s in range(5) for r in sparse_kmeans.starting_centres(points, 10, s).select("cluster").collect()]
+    assert sum(name[-1] == "0" for name in drawn) > 40 and len(set(drawn)) > 10
+
+
+def test_terms_stay_off_the_driver(spark, monkeypatch):
+    """What reaches the driver: whether points moved, never terms or centres."""
+    from pyspark.sql import classic
+    sent = []
+    frame = classic.dataframe.DataFrame
+    for name in ("collect", "toPandas", "toLocalIterator"):
+        held = getattr(frame, name)
+        monkeypatch.setattr(frame, name, lambda self, *a, held=held, **k: sent.append(rows := held(self, *a, **k)) or rows)
+    mapping = subcategory.subcategories(names(spark, ["oil filter", "air filter", "fuel pump", "fuel hose"]), clusters=2)
+    assert all(len(rows) <= 1 for rows in sent)
+    assert mapping.count() == 4
+
+
+def test_weights_read_their_input_once(spark):
+    fact = star_fact(spark, FOLDER)
+    named = subcategory.several_words(subcategory.product_names(cost_rows(fact)))
+    plan = subcategory.term_weights(named)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and plan.count("Exchange hashpartitioning") <= 4

@@ -1,11 +1,13 @@
 """Selections, trends, counts and distribution on small facts."""
 
 import datetime
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetmeter.operators import distribution, kpi, options, predicates, trend
+from fleetmeter.sources.staging import staged
 from fleetmeter.sources.star import star_fact
 from tests.conftest import FOLDER
 
@@ -163,3 +165,66 @@ def test_tooltip_adds_equal_prices(trend_fact):
     fact = trend_fact([cost("X", day, 5.0, "a"), cost("X", day, 5.0, "b"), cost("X", day, 7.0, "c")])
     rows = {r["total_price"]: r["sum_total_price"] for r in trend.cost_tooltip(fact, "asset", "day").collect()}
     assert rows == {5.0: 10.0, 7.0: 7.0}
+
+
+SUMMARY_VIEWS = {
+    **{f"trend {e} {g}": (lambda rows, e=e, g=g: trend.trend_rows(rows, e, g))
+       for e in trend.ENTITIES for g in ["day", "week", "month", "quarter", "semester", "year"]},
+    "cost line": lambda rows: trend.cost_line(rows, "asset", "month"),
+    "cost at": lambda rows: trend.cost_at(rows, "category", "year", "1997"),
+    "hours": lambda rows: trend.hours_in_periods(rows, "asset", "quarter", ("1996-Q1", "1997-Q3")),
+    "hours by day": lambda rows: trend.hours_in_periods(rows, "category", "day", ("1996-01-05", "1997-02-03")),
+    "cost and hours": lambda rows: trend.cost_versus_hours(rows, "category", "semester"),
+    "tooltip": lambda rows: trend.cost_tooltip(rows, "asset", "week"),
+    "bars": lambda rows: trend.hour_bars(rows, "category", "day"),
+    "resets": trend.reset_events,
+    "selected": lambda rows: trend.trend_rows(trend.select_rows(
+        rows, "asset", ["Supplier#000000003"], ["red widget", None], ["1996-03-01", "1997-08-31"]), "asset", "month"),
+}
+
+
+@pytest.fixture(scope="module")
+def summary(spark):
+    return staged(trend.day_summary(star_fact(spark, FOLDER)), "summary")
+
+
+@pytest.mark.parametrize("view", SUMMARY_VIEWS)
+def test_summary_in_place_of_the_fact(spark, summary, view):
+    found, wanted = SUMMARY_VIEWS[view](summary), SUMMARY_VIEWS[view](star_fact(spark, FOLDER))
+    assert found.dtypes == wanted.dtypes
+    assert "lineitem" not in found._jdf.queryExecution().executedPlan().toString()
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, wanted.collect()))
+
+
+def test_summary_of_odd_rows(trend_fact):
+    rows = [hour("X", D(2024, 1, 1, 5), 0.1), hour("X", D(2024, 1, 1, 9), 0.2), hour("X", D(2024, 1, 2), None),
+            hour(None, None, 1e15), hour("X", D(2024, 1, 2), -3.000001), cost("X", D(2024, 1, 1), 0.3),
+            cost("X", D(2024, 1, 9), None, None, None), cost("X", D(2024, 1, 9), 1e18)]
+    fact = trend_fact(rows)
+    for grain in ("day", "month"):
+        found, wanted = trend.trend_rows(trend.day_summary(fact), "asset", grain), trend.trend_rows(fact, "asset", grain)
+        assert Counter(map(tuple, found.collect())) == Counter(map(tuple, wanted.collect()))
+
+
+def test_large_selection_reaches_the_scan_as_a_bloom_filter(spark, tmp_path):
+    """A selection too large to broadcast; NULL comes by a branch of its own."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    before = {key: spark.conf.get(key) for key in list(settings)[:2]}
+    spark.range(20_000).select(F.when(F.col("id") % 100 > 0, F.col("id").cast("string")).alias("x")).write.parquet(f"{tmp_path}/rows")
+    spark.range(500).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("v"), F.lit(1).alias("n")).write.parquet(f"{tmp_path}/chosen")
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = spark.read.parquet(f"{tmp_path}/rows")
+        chosen = spark.read.parquet(f"{tmp_path}/chosen").where("n > 0").select("v")
+        found = predicates.in_table(rows, "x", chosen)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "might_contain" in plan
+        assert found.count() == 495 + 200 and found.where("x IS NULL").count() == 200
+        assert predicates.in_table(rows, "x", chosen.where("v IS NOT NULL")).where("x IS NULL").isEmpty()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value)
