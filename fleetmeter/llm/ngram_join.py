@@ -15,11 +15,15 @@ each as a signature.
 
 Copies are one node: the hash of the set. A signature of up to SMALL nodes gives all
 its pairs. A node with no more signatures of larger groups than it has spare parts
-shares a rarer signature with each of its partners; pairs of the other nodes are
-found by their prefixes, taken in an order that puts frequent shingles last. What of
-those still meets in large groups gives pairs with one pivot each round, between nodes
-not yet connected, and what is then left in several components is compared in full.
-Pairs are verified on the sets.
+shares a rarer signature with each of its partners; the other nodes are signed again, at a
+second level, by classes of size a tenth wide. There a set is signed once for each class
+that its smaller partners may lie in, by those of its shingles, the rarest first, of which
+two sets of these sizes must share one. The closer the sizes, the fewer these are: sets
+that have a frequent passage in common meet there only where almost all the rest is
+frequent too. Such sets are mostly near copies of each other. So each is held against a few
+of its group first, and only where a group then still lies in several components do its
+members meet each other: those of different components whose sizes, and places of the
+signature in their order, leave room for a similarity of 0.8. Pairs are verified on the sets.
 
 Defined cases: NULL and empty texts and texts without words have an empty set and are
 linked with nothing; rows that share an id are one document with all their links;
@@ -39,9 +43,9 @@ SHINGLE_WORDS = 5
 #: Similarity as a fraction, so that the test is exact.
 SIMILAR, WHOLE = 80, 100
 SMALL = 8
-PIVOT_ROUNDS = 3
-#: Pivots that a node is held against in a round.
-TRIES = 8
+#: Rounds in which every node of a large group is held against a few of them, and how few.
+PIVOT_ROUNDS = 1
+PIVOTS = 3
 
 _TERMS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93,
                    0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -291,29 +295,86 @@ def candidate_pairs(signed):
     return dealt.mapInArrow(_groups, "lower bigint, upper bigint, signature bigint, shared bigint")
 
 
+#: Bits of the bitmap for each key, and in all: the bound of what is broadcast.
+KEY_BITS, MOST_BITS = 16, 1 << 27
+_CHUNK = 1 << 16
+
+
+def _key_places(keys, bits):
+    """Two places of each key in a bitmap."""
+    first = mixed(keys ^ _TERMS[2])
+    return [(first & np.uint64(bits - 1)).astype(np.int64), (mixed(first) & np.uint64(bits - 1)).astype(np.int64)]
+
+
+def wanted_bitmap(wanted):
+    """A bitmap that has every id of `wanted`, and by chance a few more.
+
+    Tasks fill chunks of it, which are joined before they reach the driver: what arrives
+    there has a fixed bound, whatever the number of keys. Beyond it, more pass by chance.
+    """
+    bits = 1 << max(13, min(MOST_BITS, wanted.count() * KEY_BITS).bit_length())
+
+    def fill(batches):
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            for places in _key_places(batch.column(0).to_numpy().astype(np.uint64), bits):
+                own[places] = True
+        packed = np.packbits(own)
+        chunks = [(i, packed[i * _CHUNK:(i + 1) * _CHUNK].tobytes()) for i in range(-(-len(packed) // _CHUNK))]
+        chunks = [c for c in chunks if c[1].strip(b"\0")]
+        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in chunks], pa.int32()),
+                                          pa.array([c[1] for c in chunks], pa.binary())], names=["chunk", "bits"])
+
+    def join(batches):
+        held = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(data, np.uint8)
+                held[chunk] = own | held[chunk] if chunk in held else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()),
+                                          pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["chunk", "bits"])
+
+    schema = "chunk int, bits binary"
+    packed = np.zeros(bits // 8, np.uint8)
+    for chunk, data in wanted.mapInArrow(fill, schema).repartition("chunk").mapInArrow(join, schema).toLocalIterator():
+        packed[chunk * _CHUNK:chunk * _CHUNK + len(data)] = np.frombuffer(data, np.uint8)
+    return packed
+
+
 def node_sets(docs, wanted, id_column="doc_id", text_column="text"):
-    """(node, size, members, sketch) of the nodes in `wanted` (id, node).
+    """(node, size, members, sketch) of the documents in `wanted` (id), and by chance of a few more.
 
-    `members` are sorted 64-bit values; `sketch` is 16 bits of each.
+    `members` are sorted 64-bit values; `sketch` is 16 bits of each. Texts stay where they
+    are: a bitmap says which ones are asked for.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(wanted_bitmap(wanted))
 
     def take(batches):
+        packed, seen = shared.value, set()
         for batch in batches:
+            asked = np.ones(batch.num_rows, bool)
+            for places in _key_places(batch.column(0).to_numpy().astype(np.uint64), len(packed) * 8):
+                asked &= (packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
             nodes, sizes, members, sketches = [], [], [], []
-            asked = batch.column(2).to_pylist()
-            for first, starts, data in text_chunks(batch.column(1)):
-                for row, own in enumerate(shingle_sets(data, starts)):
-                    if len(own) and set_hash(own) == asked[first + row]:
-                        nodes.append(asked[first + row])
-                        sizes.append(len(own))
-                        members.append(own.tobytes())
-                        sketches.append((own >> np.uint64(20)).astype(np.uint16).tobytes())
+            for _, starts, data in text_chunks(batch.column(1).filter(pa.array(asked))):
+                for own in shingle_sets(data, starts):
+                    node = int(set_hash(own)) if len(own) else None
+                    if node is None or node in seen:
+                        continue
+                    if len(seen) >= _REMEMBERED:
+                        seen.clear()
+                    seen.add(node)
+                    nodes.append(node)
+                    sizes.append(len(own))
+                    members.append(own.tobytes())
+                    sketches.append((own >> np.uint64(20)).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary()),
                  pa.array(sketches, pa.binary())], names=["node", "size", "members", "sketch"])
 
-    rows = _utf8(docs, id_column, text_column).join(wanted, "id").select("id", "text_utf8", "node")
-    return rows.mapInArrow(take, "node bigint, size bigint, members binary, sketch binary")
+    rows = _utf8(docs, id_column, text_column).where("id IS NOT NULL")
+    sets = rows.mapInArrow(take, "node bigint, size bigint, members binary, sketch binary")
+    return sets.dropDuplicates(["node"])
 
 
 def _shared_members(a, b):
@@ -378,54 +439,125 @@ def _ordered(a, b):
     return F.least(a, b).alias("lower"), F.greatest(a, b).alias("upper")
 
 
-#: Counters of shingles, by hash: the bound of what says which are frequent.
-_COUNTERS = 1 << 21
+#: Counters of shingles, by hash: the bound of what says which are rare.
+MOST_COUNTERS = 1 << 22
 
 
-def _counter_of(own):
-    return (mixed(own ^ _TERMS[2]) & np.uint64(_COUNTERS - 1)).astype(np.int64)
+def _classes():
+    """Least sizes of the classes of the second level: each a tenth above the one before."""
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(max(starts[-1] + 1, starts[-1] * 11 // 10))
+    return np.array(starts)
 
 
-def prefix_signatures(sets):
-    """(signature, node) of each set's prefix, shingles on full counters last.
+_CLASSES = _classes()
 
-    Any order that all sets share gives all pairs; one that puts frequent shingles
-    last gives small groups. The counters cover all sets given and have a fixed size.
-    """
+
+def class_prefixes(count):
+    """(class, length): two sets of similarity 0.8 or more, the smaller of the class and the larger of `count`,
+    or both of one class, share one of so many shingles of each in any common order."""
+    least = -(-count * SIMILAR // WHOLE)
+    first, own = (int(np.searchsorted(_CLASSES, size, "right")) - 1 for size in (least, count))
+    for number in range(first, own + 1):
+        smallest = max(int(_CLASSES[number]), least)
+        yield number, count - -(-SIMILAR * (count + smallest) // (WHOLE + SIMILAR)) + 1
+
+
+def _rarity(sets):
+    """How often shingles stand in the sets, by hashed counters: logarithms, in a table of bounded size."""
+    total = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    counters = min(MOST_COUNTERS, 1 << max(10, (4 * total).bit_length()))
 
     def count(batches):
-        total = np.zeros(_COUNTERS, np.int32)
+        own = np.zeros(counters, np.int32)
         for batch in batches:
-            for own in batch.column(1):
-                total[np.unique(_counter_of(np.frombuffer(own.as_buffer(), np.uint64)))] += 1
-        at = np.flatnonzero(total)
+            for members in batch.column(0):
+                np.add.at(own, _counter_of(np.frombuffer(members.as_buffer(), np.uint64), counters), 1)
+        at = np.flatnonzero(own)
         for begin in range(0, len(at), 100_000):
             some = at[begin:begin + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))],
-                                             names=["counter", "sets"])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some].astype(np.int64))], names=["counter", "sets"])
 
-    sets = sets.select("node", "members")
-    counted = sets.mapInArrow(count, "counter bigint, sets bigint").groupBy("counter").agg(F.sum("sets").alias("sets"))
-    full = np.zeros(_COUNTERS, bool)
-    full[counted.where(F.col("sets") > SMALL).select("counter").toPandas()["counter"].to_numpy(np.int64)] = True
-    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(full))
+    counted = sets.select("members").mapInArrow(count, "counter bigint, sets bigint").groupBy("counter").agg(
+        F.floor(4 * F.log2(F.sum("sets"))).cast("int").alias("level")).where("level > 0")
+    levels = np.zeros(counters, np.uint8)
+    found = counted.toArrow()
+    levels[found["counter"].to_numpy()] = np.minimum(found["level"].to_numpy(), 255)
+    return levels
+
+
+def _counter_of(own, counters):
+    return (mixed(own ^ _TERMS[2]) & np.uint64(counters - 1)).astype(np.int64)
+
+
+def class_signatures(sets):
+    """(signature, node, size, place, own): each set under the shingles it must share with a partner, by the
+    class of the smaller of the two. `place` is the shingle's in the set's order, rarest first; `own` says
+    that it is the set's own class. Two sets that are not `own` there are compared in another class."""
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
 
     def sign(batches):
-        frequent = np.unpackbits(shared.value).astype(bool)
+        levels = shared.value
         for batch in batches:
-            nodes, signs = [], []
-            for node, own in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(own.as_buffer(), np.uint64)
-                late = frequent[_counter_of(own)]
-                prefix = np.concatenate([own[~late], own[late]])[:prefix_size(len(own))]
-                signs.append(mixed(prefix ^ _TERMS[3]))
-                nodes.append(np.full(len(prefix), node, np.int64))
-            if nodes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(signs).astype(np.int64)), pa.array(np.concatenate(nodes))],
-                    names=["signature", "node"])
-
-    return sets.mapInArrow(sign, "signature bigint, node bigint")
+            found = []
+            for node, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(members.as_buffer(), np.uint64)
+                own = own[np.argsort(levels[_counter_of(own, len(levels))], kind="stable")]
+                prefixes = list(class_prefixes(len(own)))
+                for number, length in prefixes:
+                    found.append((mixed(mixed(own[:length] ^ _TERMS[3]) + np.uint64(number)), node, len(own),
+                                  number == prefixes[-1][0]))
+            if found:
+                lengths = [len(f[0]) for f in found]
+                columns = [np.concatenate([f[0] for f in found]).astype(np.int64),
+                           *[np.repeat([f[i] for f in found], lengths) for i in (1, 2)],
+                           np.concatenate([np.arange(n) for n in lengths]), np.repeat([f[3] for f in found], lengths)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
+                                                 names=["signature", "node", "size", "place", "own"])
+
+    return sets.select("node", "members").mapInArrow(
+        sign, "signature bigint, node bigint, size bigint, place bigint, own boolean")
+
+
+def _near_enough(a_size, b_size):
+    return F.greatest(a_size, b_size) * SIMILAR <= F.least(a_size, b_size) * WHOLE
+
+
+def pivot_pairs(members, number):
+    """Each node of a large group with a few of them, alike for all groups of the same nodes."""
+    def least(turn):
+        return F.min(F.when(F.col("own"), F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), F.col("node").alias("pivot"),
+                                                   F.col("size").alias("pivot_size"))))
+
+    groups = members.groupBy("signature").agg(
+        F.count("*").alias("met"), F.array(*[least(number * PIVOTS + i) for i in range(PIVOTS)]).alias("pivots"))
+    tried = members.join(groups.where(F.col("met") > SMALL), "signature").select("node", "size", F.explode("pivots").alias("of"))
+    tried = tried.where((F.col("node") != F.col("of.pivot")) & _near_enough(F.col("size"), F.col("of.pivot_size")))
+    return tried.select(*_ordered(F.col("node"), F.col("of.pivot"))).distinct()
+
+
+def open_members(members, components):
+    """Members of the groups that lie in several components, with their own."""
+    known = staged(members.join(components, "node"), "join-known")
+    split = known.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return staged(known.join(split.where("low <> high").select("signature"), "signature"), "join-open")
+
+
+def open_pairs(members):
+    """Pairs of nodes of different components that a group says may be similar.
+
+    The shingle behind a signature may be the first that two sets share. Then they share
+    no more than what follows it in the shorter rest; a pair that needs more than that
+    shares an earlier one, and is found there.
+    """
+    a, b = members.where("own").alias("a"), members.alias("b")
+    rest = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+    once = ~F.col("b.own") | (F.col("a.node") < F.col("b.node"))
+    met = a.join(b, (F.col("a.signature") == F.col("b.signature")) & (F.col("a.component") != F.col("b.component")) & once
+                 & _near_enough(F.col("a.size"), F.col("b.size"))
+                 & (rest * (WHOLE + SIMILAR) >= (F.col("a.size") + F.col("b.size")) * SIMILAR))
+    return met.select(*_ordered(F.col("a.node"), F.col("b.node"))).distinct()
 
 
 def _met_often(found):
@@ -458,44 +590,18 @@ def linked_components(docs, digest, id_column="doc_id", text_column="text"):
     # Nodes whose partners may share no rarer signature.
     often = staged(counted.where("hot > spare").select("node"), "join-often")
     compared = pairs.select(F.explode(F.array("lower", "upper")).alias("node")).unionByName(often).distinct()
-    wanted = compared.join(counted, "node").select("id", "node")
-    sets = staged(node_sets(docs, wanted, id_column, text_column).dropDuplicates(["node"]), "join-sets")
+    wanted = compared.join(counted, "node").select("id").distinct()
+    sets = staged(node_sets(docs, wanted, id_column, text_column), "join-sets")
     links = staged(verified(pairs, sets), "join-links")
-    again = staged(candidate_pairs(prefix_signatures(
-        staged(sets.join(often, "node", "left_semi"), "join-often"))), "join-candidates")
-    pairs = staged(_small_groups(again).select("lower", "upper"), "join-pairs")
-    links = links.unionByName(staged(verified(pairs, sets), "join-links"))
-    members = _met_often(again)
-    nodes = sets.select("node", F.col("node").alias("component"))
-    components = merged(nodes, links)
-    for number in range(PIVOT_ROUNDS + 1):
-        # Signatures whose nodes lie in several components, and their nodes.
-        known = staged(members.join(components, "node"), "join-known")
-        # The pivot of a signature changes every round.
-        turn = F.xxhash64("node", "signature", F.lit(number))
-        split = known.groupBy("signature").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min(F.struct(turn.alias("turn"), F.col("node"), F.col("component"))).alias("pivot"))
-        split = staged(split.where("low <> high").select(
-            "signature", F.col("pivot.node").alias("pivot"), F.col("pivot.component").alias("pivot_component")), "join-split")
-        open_members = staged(known.join(split, "signature"), "join-open")
-        if open_members.isEmpty():
-            break
-        if number < PIVOT_ROUNDS:
-            # A few pivots for each node: other signatures have their turn later.
-            turn = F.xxhash64("signature", F.lit(number))
-            tries = open_members.where("component <> pivot_component").groupBy(
-                "node", F.pmod(turn, F.lit(TRIES))
-            ).agg(F.min(F.struct(turn, F.col("pivot"))).alias("chosen"))
-            tries = tries.select(*_ordered(F.col("node"), F.col("chosen.pivot")))
-        else:
-            left = open_members.select("signature", F.col("node").alias("a"), F.col("component").alias("one"))
-            right = open_members.select("signature", F.col("node").alias("b"), F.col("component").alias("other"))
-            tries = left.join(right, "signature").where("one < other").select(*_ordered(F.col("a"), F.col("b")))
-        new = staged(verified(staged(tries.distinct(), "join-pairs"), sets), "join-links")
-        if not new.isEmpty():
-            components = merged(components, new)
-        members = open_members.select("signature", "node")
+    members = staged(class_signatures(staged(sets.join(often, "node", "left_semi"), "join-often")), "join-members")
+    components, left = sets.select("node", F.col("node").alias("component")), members
+    for number in range(PIVOT_ROUNDS):
+        tried = staged(verified(staged(pivot_pairs(left, number), "join-pairs"), sets), "join-links")
+        components = merged(components, links.unionByName(tried))
+        left = open_members(members, components)
+    if not left.isEmpty():
+        last = staged(verified(staged(open_pairs(left), "join-pairs"), sets), "join-links")
+        components = merged(components, last)
     return components
 
 
