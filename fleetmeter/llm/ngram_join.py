@@ -22,12 +22,15 @@ two sets of these sizes must share one. The closer the sizes, the fewer these ar
 that have a frequent passage in common meet there only where almost all the rest is
 frequent too. Such sets are mostly near copies of each other. So each is held against a few
 of its group first, and only where a group then still lies in several components do its
-members meet each other: those of different components whose sizes, and places of the
-signature in their order, leave room for a similarity of 0.8. Pairs are verified on the sets.
+members meet each other: those of different components whose sizes, places of the
+signature in their order, and bitmaps of 256 bits leave room for a similarity of 0.8.
+Pairs are verified on the sets.
 
 Defined cases: NULL and empty texts and texts without words have an empty set and are
 linked with nothing; rows that share an id are one document with all their links;
-rows without an id get their set size and no component.
+rows without an id get their set size and no component. An empty table gives no rows. A
+text longer than a chunk is hashed slice by slice; what is held of it is its words' hashes,
+a few times eight bytes each. Columns other than the two named are not read.
 """
 
 import numpy as np
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetmeter.llm.batches import SOLID_BYTES, LOWER, mixed, text_chunks, word_bounds, word_hashes
+from fleetmeter.llm.batches import SOLID_BYTES, LOWER, hashed_runs, mixed, text_chunks
 from fleetmeter.llm.components import connected, merged
 from fleetmeter.sources.staging import staged
 
@@ -53,9 +56,7 @@ _TERMS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93,
 
 def shingle_sets(data, starts):
     """Sorted distinct shingle hashes of each text of a chunk."""
-    lowered = np.frombuffer(data.translate(LOWER), np.uint8)
-    begins, ends, at = word_bounds(lowered, starts, SOLID_BYTES)
-    hashes = word_hashes(lowered, begins, ends)
+    hashes, at, _ = hashed_runs(data.translate(LOWER), starts, SOLID_BYTES)
     count = len(hashes)
     sums = np.zeros(count, np.uint64)
     # A chunk may hold fewer words than a shingle.
@@ -491,8 +492,29 @@ def _counter_of(own, counters):
     return (mixed(own ^ _TERMS[2]) & np.uint64(counters - 1)).astype(np.int64)
 
 
+#: Words of 64 bits in a set's bitmap.
+BITMAP = [f"bits_{i}" for i in range(4)]
+
+
+def parity_bitmap(own):
+    """256 bits, each the parity of the shingles that fall on it: two sets differ in as many shingles
+    as their bitmaps in bits, or more."""
+    places = (mixed(own ^ _TERMS[4]) >> np.uint64(56)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=256).astype(np.uint8) & 1).view(np.int64)
+
+
+def _differing(a, b):
+    """Bits that differ between two bitmaps, given as functions of a column's name."""
+    return sum(F.bit_count(a(name).bitwiseXOR(b(name))) for name in BITMAP)
+
+
+def _room(a_size, b_size, differing):
+    """Whether sets that differ in so many shingles or more can be similar."""
+    return (a_size + b_size - differing) * (WHOLE + SIMILAR) >= (a_size + b_size) * (2 * SIMILAR)
+
+
 def class_signatures(sets):
-    """(signature, node, size, place, own): each set under the shingles it must share with a partner, by the
+    """(signature, node, size, place, own, *BITMAP): each set under the shingles it must share with a partner, by the
     class of the smaller of the two. `place` is the shingle's in the set's order, rarest first; `own` says
     that it is the set's own class. Two sets that are not `own` there are compared in another class."""
     shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
@@ -503,21 +525,24 @@ def class_signatures(sets):
             found = []
             for node, members in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = np.frombuffer(members.as_buffer(), np.uint64)
+                bits = parity_bitmap(own)
                 own = own[np.argsort(levels[_counter_of(own, len(levels))], kind="stable")]
                 prefixes = list(class_prefixes(len(own)))
                 for number, length in prefixes:
                     found.append((mixed(mixed(own[:length] ^ _TERMS[3]) + np.uint64(number)), node, len(own),
-                                  number == prefixes[-1][0]))
+                                  number == prefixes[-1][0], bits))
             if found:
                 lengths = [len(f[0]) for f in found]
                 columns = [np.concatenate([f[0] for f in found]).astype(np.int64),
                            *[np.repeat([f[i] for f in found], lengths) for i in (1, 2)],
-                           np.concatenate([np.arange(n) for n in lengths]), np.repeat([f[3] for f in found], lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
-                                                 names=["signature", "node", "size", "place", "own"])
+                           np.concatenate([np.arange(n) for n in lengths]), np.repeat([f[3] for f in found], lengths),
+                           *np.repeat([f[4] for f in found], lengths, axis=0).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns],
+                                                 names=["signature", "node", "size", "place", "own", *BITMAP])
 
     return sets.select("node", "members").mapInArrow(
-        sign, "signature bigint, node bigint, size bigint, place bigint, own boolean")
+        sign, "signature bigint, node bigint, size bigint, place bigint, own boolean, "
+        + ", ".join(f"{name} bigint" for name in BITMAP))
 
 
 def _near_enough(a_size, b_size):
@@ -528,12 +553,15 @@ def pivot_pairs(members, number):
     """Each node of a large group with a few of them, alike for all groups of the same nodes."""
     def least(turn):
         return F.min(F.when(F.col("own"), F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), F.col("node").alias("pivot"),
-                                                   F.col("size").alias("pivot_size"))))
+                                                   F.col("size").alias("pivot_size"), *BITMAP)))
 
     groups = members.groupBy("signature").agg(
         F.count("*").alias("met"), F.array(*[least(number * PIVOTS + i) for i in range(PIVOTS)]).alias("pivots"))
-    tried = members.join(groups.where(F.col("met") > SMALL), "signature").select("node", "size", F.explode("pivots").alias("of"))
-    tried = tried.where((F.col("node") != F.col("of.pivot")) & _near_enough(F.col("size"), F.col("of.pivot_size")))
+    tried = members.join(groups.where(F.col("met") > SMALL), "signature").select(
+        "node", "size", *BITMAP, F.explode("pivots").alias("of"))
+    differing = _differing(F.col, lambda name: F.col(f"of.{name}"))
+    tried = tried.where((F.col("node") != F.col("of.pivot")) & _near_enough(F.col("size"), F.col("of.pivot_size"))
+                        & _room(F.col("size"), F.col("of.pivot_size"), differing))
     return tried.select(*_ordered(F.col("node"), F.col("of.pivot"))).distinct()
 
 
@@ -547,16 +575,19 @@ def open_members(members, components):
 def open_pairs(members):
     """Pairs of nodes of different components that a group says may be similar.
 
-    The shingle behind a signature may be the first that two sets share. Then they share
+    Bitmaps say how many shingles two sets differ in at least. And the shingle behind a
+    signature may be the first that two sets share. Then they share
     no more than what follows it in the shorter rest; a pair that needs more than that
     shares an earlier one, and is found there.
     """
     a, b = members.where("own").alias("a"), members.alias("b")
     rest = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
     once = ~F.col("b.own") | (F.col("a.node") < F.col("b.node"))
+    differing = _differing(lambda name: F.col(f"a.{name}"), lambda name: F.col(f"b.{name}"))
     met = a.join(b, (F.col("a.signature") == F.col("b.signature")) & (F.col("a.component") != F.col("b.component")) & once
                  & _near_enough(F.col("a.size"), F.col("b.size"))
-                 & (rest * (WHOLE + SIMILAR) >= (F.col("a.size") + F.col("b.size")) * SIMILAR))
+                 & (rest * (WHOLE + SIMILAR) >= (F.col("a.size") + F.col("b.size")) * SIMILAR)
+                 & _room(F.col("a.size"), F.col("b.size"), differing))
     return met.select(*_ordered(F.col("a.node"), F.col("b.node"))).distinct()
 
 
