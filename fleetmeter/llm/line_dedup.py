@@ -1,21 +1,24 @@
 """Line dedup by a tree of line templates.
 
-A line, and each sentence of a line that has several, is a unit. Tokens that hold a
-digit are variable fields and generalise to `<*>`, where enough words are left to tell
-the template: rows of numbers, dates or table cells stand for themselves. A unit goes down a tree of fixed
-depth: first by its number of tokens, then by its leading tokens; a leaf holds the
-templates that have both in common, told apart by the rest of their generalised
-tokens. A template found in more than one document is dropped from all but the
-document of the smallest id.
-
-A leaf does not merge templates that only look alike, as a log parser would: two
-sentences of prose that share half their words are no repetition, and dropping one
-would take text from clean documents.
+A line, and each sentence of a line that has several, is a unit. Its tokens with a digit
+are variable fields, where enough words are left to tell the template: rows of numbers,
+dates or table cells stand for themselves. A unit goes down a tree of fixed depth: first by
+its number of tokens, then by its leading tokens. In the leaf it ends in, templates are
+compared with each other: the tokens after the leading ones are cut into four stretches,
+and templates of the leaf that differ in one of them alone are one template with a field
+there. A template found in more than one document is dropped from all but the document of
+the smallest id.
+
+Only units of MERGED tokens are merged, so a field is five tokens at most and prose
+stays: other units of a leaf are one template only if they are equal but for digits. A
+template may be merged with several, through different fields; each of its units goes if
+an earlier document has any of these.
 
 Defined cases: NULL texts stay NULL and empty ones empty; units of fewer tokens than
 LINE_TOKENS or SENTENCE_TOKENS are kept; rows that share an id count as one document,
 and rows without an id as one more, which comes first; a unit repeated inside one
-document alone is kept. Other columns are kept as they are.
+document alone is kept. Very long texts are rows of their own length and nothing more.
+Other columns are kept as they are.
 """
 
 from pyspark.sql import functions as F
@@ -33,9 +36,12 @@ FIXED_TOKENS = 3
 VARIABLE = "[^\\s0-9]*+[0-9]\\S*"
 FIELD = "<*>"
 
-# Marks put after sentence ends and line ends; in a text they are escaped first.
-_SENTENCE, _LINE, _ESCAPE = "\x01", "\x02", "\x03"
-_ESCAPES = ((_ESCAPE, _ESCAPE + "a"), (_SENTENCE, _ESCAPE + "b"), (_LINE, _ESCAPE + "c"))
+#: Tokens of units whose templates a leaf merges, and the stretches their rest is cut into.
+MERGED = (8, 23)
+STRETCHES = 4
+
+# Split points: after a line's end, after a sentence's.
+_AFTER_LINE, _AFTER_SENTENCE = "(?<=\n)", "(?<=[.!?] )"
 
 _FIRST = -(1 << 63)
 
@@ -44,89 +50,81 @@ def _replaced(text, old, new):
     return F.replace(text, F.lit(old), F.lit(new))
 
 
-def marked(text):
-    """Text with a mark after each line and sentence end."""
-    for plain, escape in _ESCAPES:
-        text = _replaced(text, plain, escape)
-    for end in (". ", "! ", "? "):
-        text = _replaced(text, end, end + _SENTENCE)
-    return _replaced(text, "\n", "\n" + _LINE)
-
-
-def unmarked(text):
-    for plain, escape in reversed(_ESCAPES):
-        text = _replaced(text, escape, plain)
-    return text
-
-
 def generalised(unit):
     """Tokens with a digit as fields; `unit` is trimmed."""
     return F.when(unit.rlike("[0-9]"), F.regexp_replace(unit, VARIABLE, FIELD)).otherwise(unit)
 
 
-def told_apart(template):
+def told_apart(template, tokens):
     """Whether a template with fields has the words to be one."""
     fixed = F.regexp_count(template, F.lit("\\p{L}\\S*"))
-    return (fixed >= FIXED_TOKENS) & (2 * fixed > tokens(template))
+    return (fixed >= FIXED_TOKENS) & (2 * fixed > tokens)
 
 
 def _occurrences(text, part):
     return (F.length(text) - F.length(_replaced(text, part, ""))) / F.lit(len(part))
 
 
-def tokens(unit):
-    return F.octet_length(unit) - F.octet_length(_replaced(unit, " ", "")) + 1
-
+def _document(id_column):
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(_FIRST))
 
-def tree_places(sentences):
-    """Structs (tokens, leaf_a, leaf_b) of an array of sentences: where each falls in the tree.
 
-    The template's place in its leaf is a pair of 64-bit hashes, so that rows are small.
-    """
-    trimmed = F.transform(sentences, lambda s: F.btrim(s, F.lit(" \n")))
-    both = F.transform(trimmed, lambda s: F.struct(s.alias("unit"), generalised(s).alias("template")))
-    templates = F.transform(both, lambda b: F.when(
-        (b["unit"] == b["template"]) | told_apart(b["template"]), b["template"]).otherwise(b["unit"]))
-    counted = F.transform(templates, lambda t: F.struct(
-        F.when(t == "", 0).otherwise(tokens(t)).alias("tokens"), t.alias("template")))
-    return F.transform(counted, lambda c: F.struct(
-        c["tokens"].alias("tokens"),
-        F.xxhash64(c["tokens"], F.substring_index(c["template"], " ", LEADING_TOKENS), c["template"]).alias("leaf_a"),
-        F.xxhash64(c["template"], c["tokens"]).alias("leaf_b"),
-    ))
+def _stretch(number):
+    """Hash of a stretch of the tokens after the leading ones; NULL in units that are not merged."""
+    count = F.size("words")
+    size = F.ceil((count - LEADING_TOKENS) / STRETCHES).cast("int")
+    own = F.hash(F.slice("words", size * number + (LEADING_TOKENS + 1), size))
+    return F.when(count.between(*MERGED), own).alias(f"stretch_{number}")
 
 
-def _document(id_column):
-    return F.coalesce(F.col(id_column).cast("long"), F.lit(_FIRST))
+_STRETCHES = [f"stretch_{number}" for number in range(STRETCHES)]
 
 
 def units(docs, id_column, text_column):
-    """One row for each unit: document, text hash, line, part (0: the line) and leaf.
+    """One row for each unit: document, text hash, line, part (0: the line), and its place in the tree.
 
-    A line of several sentences falls where its sentences' templates put it.
+    `leaf` stands for the number of tokens and the leading ones, `template` for all of them.
     """
     lines = docs.select(
         _document(id_column).alias("document"), F.xxhash64(text_column).alias("text_hash"),
-        F.posexplode(F.split(marked(F.col(text_column)), _LINE)).alias("line", "content"),
-    )
-    placed = lines.select("document", "text_hash", "line", tree_places(F.split("content", _SENTENCE)).alias("places"))
-    whole = F.struct(
-        F.aggregate("places", F.lit(0), lambda total, p: total + p["tokens"]).alias("tokens"),
-        F.xxhash64("places", F.lit(0)).alias("leaf_a"), F.xxhash64(F.lit(1), "places").alias("leaf_b"),
+        F.posexplode(F.split(text_column, "\n")).alias("line", "content"),
     )
-    parts = F.when(F.size("places") > 1, F.concat(F.array(whole), F.col("places"))).otherwise(F.col("places"))
-    exploded = placed.select("document", "text_hash", "line", F.posexplode(parts).alias("part", "place"))
+    sentences = lines.select("document", "text_hash", "line", "content", F.split("content", _AFTER_SENTENCE).alias("sentences"))
+    parts = F.when(F.size("sentences") > 1, F.concat(F.array("content"), F.col("sentences"))).otherwise(F.col("sentences"))
+    every = sentences.select("document", "text_hash", "line", F.posexplode(parts).alias("part", "unit"))
+    every = every.withColumn("unit", F.btrim("unit", F.lit(" ")))
+    # Spaces say how many tokens there are before any of them is looked at.
+    tokens = F.octet_length("unit") - F.octet_length(_replaced(F.col("unit"), " ", "")) + 1
     least = F.when(F.col("part") == 0, LINE_TOKENS).otherwise(SENTENCE_TOKENS)
-    return exploded.where(F.col("place.tokens") >= least).select(
-        "document", "text_hash", "line", "part", "place.leaf_a", "place.leaf_b")
+    long = every.withColumn("tokens", tokens).where(F.col("tokens") >= least).withColumn("masked", generalised(F.col("unit")))
+    own = F.when((F.col("masked") == F.col("unit")) | told_apart(F.col("masked"), F.col("tokens")), F.col("masked"))
+    words = long.withColumn("words", F.split(F.coalesce(own, F.col("unit")), " "))
+    return words.select(
+        "document", "text_hash", "line", "part",
+        F.xxhash64("tokens", F.slice("words", 1, LEADING_TOKENS)).alias("leaf"), F.xxhash64("words").alias("template"),
+        *[_stretch(number) for number in range(STRETCHES)])
+
+
+def merged_templates(templates):
+    """(leaf, template, merged): the first document of any template of the leaf that differs in one stretch."""
+    several = templates.where(F.col(_STRETCHES[0]).isNotNull()).groupBy("leaf").agg(F.count("*").alias("held")).where("held > 1")
+    rivals = templates.join(several.select("leaf"), "leaf")
+    without = F.array(*[F.xxhash64("leaf", F.lit(field), *[s for i, s in enumerate(_STRETCHES) if i != field])
+                        for field in range(STRETCHES)])
+    fields = rivals.where(F.col(_STRETCHES[0]).isNotNull()).select("leaf", "template", "first", F.explode(without).alias("field"))
+    fields = staged(fields, "line-fields")
+    alike = fields.groupBy("field").agg(F.count("*").alias("held"), F.min("first").alias("merged")).where("held > 1")
+    return fields.join(alike, "field").groupBy("leaf", "template").agg(F.min("merged").alias("merged"))
 
 
 def recurring(all_units):
-    """Templates of more than one document, with the document that keeps them."""
-    grouped = all_units.groupBy("leaf_a", "leaf_b").agg(
-        F.min("document").alias("keeper"), F.max("document").alias("last")
-    )
-    return grouped.where("keeper <> last").select("leaf_a", "leaf_b", "keeper")
+    """(leaf, template, keeper): templates of more than one document, and the document that keeps them."""
+    templates = staged(all_units.groupBy("leaf", "template").agg(
+        F.min("document").alias("first"), F.max("document").alias("last"), *[F.min(s).alias(s) for s in _STRETCHES]),
+        "line-templates")
+    merged = merged_templates(templates)
+    found = templates.join(merged, ["leaf", "template"], "left").withColumn("keeper", F.least("first", "merged"))
+    return found.where("keeper <> last").select("leaf", "template", "keeper")
 
 
 _CODE = 1 << 32
@@ -140,8 +138,8 @@ def deduplicated(docs, id_column="doc_id", text_column="text"):
     be split between tasks when the units meet it.
     """
     all_units = staged(units(docs, id_column, text_column), "line-units")
-    repeated = staged(recurring(all_units), "line-templates")
-    dropped = all_units.join(repeated, ["leaf_a", "leaf_b"]).where("document <> keeper")
+    repeated = staged(recurring(all_units), "line-recurring")
+    dropped = all_units.join(repeated, ["leaf", "template"]).where("document <> keeper")
     codes = dropped.select("document", "text_hash", (F.col("line") * F.lit(_CODE) + F.col("part")).alias("code"))
     marks = codes.groupBy("document", "text_hash").agg(F.collect_set("code").alias("codes"))
     rows = docs.select(
@@ -151,7 +149,7 @@ def deduplicated(docs, id_column="doc_id", text_column="text"):
     # Only for texts that lose something: lines as arrays of sentences, the codes of
     # all sentences of lines not dropped whole, and of these the codes not dropped.
     nested = F.when(F.col("codes").isNotNull(), F.transform(
-        F.split(marked(F.col("text")), _LINE), lambda line: F.split(line, _SENTENCE)
+        F.split("text", _AFTER_LINE), lambda line: F.split(line, _AFTER_SENTENCE)
     ))
     joined = joined.withColumn("nested", nested)
     lines = F.sequence(F.lit(0), F.size("nested") - 1)
@@ -168,7 +166,7 @@ def deduplicated(docs, id_column="doc_id", text_column="text"):
     counted = F.coalesce(sentences.cast("long"), F.lit(0).cast("long"))
     return joined.select(
         "row",
-        F.when(F.col("codes").isNull(), F.col("text")).otherwise(unmarked(text)).alias("kept_text"),
+        F.when(F.col("codes").isNull(), F.col("text")).otherwise(text).alias("kept_text"),
         counted.alias("n_units"),
         F.when(F.col("codes").isNull(), 0).otherwise(counted - F.size("kept")).cast("long").alias("n_dropped"),
     )
