@@ -1,29 +1,28 @@
 """Benchmark decontamination by one Aho-Corasick automaton.
 
 A window is ten consecutive words of a benchmark item, or the whole item if it has
-fewer. The automaton holds every window; a text is scanned once, in normal form,
-and hits are carried back to the words of the text and from there to its characters.
+fewer. The automaton holds every window, as a run of word numbers, so its states are words
+and not letters; a text is scanned once, word by word in normal form, and hits are carried
+back to the characters of the original.
 
 Defined cases: NULL and empty texts have no words and no hits; an item without
-words has no windows; a benchmark without windows hits nothing; repeated documents
-and items are treated row by row, and item ids count once per document. Rows keep
-their own columns: the operator reads the two columns it is told and adds none of
-the others.
+words has no windows; windows of an item without id hit words, but no item is counted for
+them; a benchmark without windows hits nothing; repeated documents and items are treated
+row by row, and item ids count once per document; empty tables give no rows. A very long
+text takes about fifty bytes for each of its words while it is scanned. Rows keep their own
+columns: the operator reads the two columns it is told and adds none of the others.
 """
 
-import hashlib
-
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetmeter.llm.batches import LOWER, WORD_BYTES, text_chunks, word_bounds
+from fleetmeter.llm.batches import LOWER, WORD_BYTES, text_chunks
 from fleetmeter.sources.staging import staged
 
 WINDOW_WORDS = 10
-#: Windows in one automaton (about 300 bytes each in a task). A larger benchmark is
+#: Windows in one automaton, about 800 bytes each in a worker. A larger benchmark is
 #: cut into blocks, and the texts pass one automaton after another.
 BLOCK_WINDOWS = 500_000
 
@@ -46,7 +45,7 @@ def benchmark_windows(benchmark, item_column="item_id", text_column="text", size
         "'abcdefghijklmnopqrstuvwxyz'), '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+', 0)"
     )
     listed = benchmark.select(F.col(item_column).cast("string").alias("item"), words.alias("words"))
-    listed = listed.where("item IS NOT NULL AND size(words) > 0")
+    listed = listed.where("size(words) > 0")
     windows = F.expr(
         f"transform(sequence(1, greatest(1, size(words) - {size - 1})), "
         f"i -> array_join(slice(words, i, {size}), ' '))"
@@ -54,36 +53,45 @@ def benchmark_windows(benchmark, item_column="item_id", text_column="text", size
     return listed.select("item", F.explode(windows).alias("window")).distinct()
 
 
-def _automaton(windows):
-    """Windows with a space on either side, as one letter per byte."""
-    found = ahocorasick.Automaton()
-    for window, items in windows.items():
-        key = b" " + window.encode() + b" "
-        found.add_word(key.decode("latin-1"), (len(window.split(" ")), items))
-    if windows:
-        found.make_automaton()
-    return found
-
-
-def _scan(text, automaton):
-    """(number of words, hit word spans merged, items) of one text."""
-    words = normal_words(text)
-    if not words or not len(automaton):
-        return len(words), [], set()
-    normal = b" " + b" ".join(words) + b" "
-    spans, items = [], set()
-    gaps = None
-    for end, (length, owners) in automaton.iter(normal.decode("latin-1")):
-        if gaps is None:
-            gaps = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
-        last = int(np.searchsorted(gaps, end))
-        first = last - length
-        items.update(owners)
-        if spans and first <= spans[-1][1] and first >= spans[-1][0]:
-            spans[-1][1] = max(spans[-1][1], last)
-        else:
-            spans.append([first, last])
-    return len(words), merged(spans), items
+class Windows:
+    """An automaton over the numbers of the words that windows have; other words are 0."""
+
+    def __init__(self, windows):
+        """`windows` are words joined by spaces -> ids of the items that have them."""
+        self.numbers = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, items in windows.items():
+            key = tuple(self.numbers.setdefault(word, len(self.numbers) + 1) for word in window.encode().split(b" "))
+            self.automaton.add_word(key, (len(key), tuple(items)))
+        if windows:
+            self.automaton.make_automaton()
+
+    def scan(self, text):
+        """(number of words, hit word spans merged, items) of one text."""
+        words = normal_words(text)
+        if not words or not len(self.automaton):
+            return len(words), [], set()
+        number = self.numbers.get
+        spans, items = [], set()
+        for end, (length, owners) in self.automaton.iter(tuple([number(word, 0) for word in words])):
+            first, last = end + 1 - length, end + 1
+            items.update(owners)
+            if spans and first <= spans[-1][1] and first >= spans[-1][0]:
+                spans[-1][1] = max(spans[-1][1], last)
+            else:
+                spans.append([first, last])
+        return len(words), merged(spans), items
+
+
+_built = {}
+
+
+def _automaton(shared):
+    """The automaton of a block's windows, built once in each process."""
+    if shared not in _built:
+        _built.clear()
+        _built[shared] = Windows(shared.value)
+    return _built[shared]
 
 
 def merged(spans):
@@ -101,7 +109,7 @@ def _block_scanner(windows):
     """Adds what one block of windows hits to the columns n_words, hit_words, items."""
 
     def scan(batches):
-        automaton = _automaton(windows.value)
+        automaton = _automaton(windows)
         for batch in batches:
             names = batch.schema.names
             old_spans = batch.column(names.index("hit_words")).to_pylist()
@@ -110,7 +118,7 @@ def _block_scanner(windows):
             texts = batch.column(names.index("text_utf8"))
             for first, starts, data in text_chunks(texts):
                 for row in range(len(starts) - 1):
-                    count, hit, owners = _scan(data[starts[row]:starts[row + 1]], automaton)
+                    count, hit, owners = automaton.scan(data[starts[row]:starts[row + 1]])
                     before = [[s["first_word"], s["end_word"]] for s in old_spans[first + row]]
                     counts.append(count)
                     spans.append([
@@ -150,7 +158,9 @@ def decontaminated(docs, benchmark, id_column="doc_id", text_column="text", item
         in_block = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
         owned = {}
         for row in in_block.toLocalIterator():
-            owned.setdefault(row["window"], []).append(row["item"])
+            own = owned.setdefault(row["window"], [])
+            if row["item"] is not None:
+                own.append(row["item"])
         rows = rows.mapInArrow(_block_scanner(spark.sparkContext.broadcast(owned)), rows.schema)
         if block < blocks - 1:
             rows = staged(rows, "decontamination")
@@ -198,7 +208,3 @@ def without_hits(found, text_column="text"):
         F.col("clean").alias(name) if name == text_column else F.col(f"row.`{name}`").alias(name)
         for name in row.names
     ])
-
-
-def joined_sha256(items):
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

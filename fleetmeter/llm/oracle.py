@@ -49,8 +49,7 @@ FROM parted
 
 
 _DECONTAMINATION = f"""
-WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words("text")} AS w FROM benchmark
-               WHERE item_id IS NOT NULL),
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words("text")} AS w FROM benchmark),
 windows AS (SELECT DISTINCT item, w[i:i + 9] AS win
             FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM items WHERE len(w) > 0)),
 docs AS (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
@@ -62,7 +61,7 @@ hits AS (SELECT DISTINCT p.r, p.i, p.size, v.item
 hit_words AS (SELECT r, count(DISTINCT k) AS n_hit
               FROM (SELECT r, unnest(range(i, i + size)) AS k FROM hits) GROUP BY r),
 hit_items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined
-              FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+              FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
@@ -79,22 +78,37 @@ closed AS (  -- a sentence end at the end of a line opens an empty sentence ther
          CASE WHEN content = '' THEN [''] WHEN regexp_matches(content, '[.!?] $') THEN list_append(sentences, '')
               ELSE sentences END AS sentences FROM lines),
 ends AS (SELECT doc_id, max(line) AS last_line FROM closed GROUP BY doc_id),
-sentence_units AS (
-  SELECT doc_id, line, part, n, template,
-         CASE WHEN template = '' THEN 0 ELSE length(template) - length(replace(template, ' ', '')) + 1 END AS tokens
-  FROM (SELECT doc_id, line, part, n,
-               regexp_replace(trim(unit, chr(10) || ' '), '[^\s0-9]*[0-9]\S*', '{line_dedup.FIELD}', 'g') AS template
-        FROM (SELECT doc_id, line, unnest(range(1, len(sentences) + 1)) AS part, unnest(sentences) AS unit,
-                     len(sentences) AS n FROM closed))),
-units AS (
-  SELECT doc_id, line, CASE WHEN n = 1 THEN 0 ELSE part END AS part, template, tokens FROM sentence_units
+written AS (
+  SELECT doc_id, line, 0 AS part, content AS unit FROM closed
   UNION ALL
-  SELECT doc_id, line, 0, string_agg(template, chr(1) ORDER BY part), sum(tokens)
-  FROM sentence_units WHERE n > 1 GROUP BY doc_id, line),
-long AS (SELECT * FROM units
-         WHERE tokens >= CASE WHEN part = 0 THEN {line_dedup.LINE_TOKENS} ELSE {line_dedup.SENTENCE_TOKENS} END),
-repeated AS (SELECT template, min(doc_id) AS keeper FROM long GROUP BY template HAVING min(doc_id) <> max(doc_id)),
-dropped AS (SELECT doc_id, line, part FROM long JOIN repeated USING (template) WHERE doc_id <> keeper),
+  SELECT doc_id, line, unnest(range(1, len(sentences) + 1)), unnest(sentences) FROM closed WHERE len(sentences) > 1),
+counted AS (SELECT doc_id, line, part, unit, len(string_split(unit, ' ')) AS tokens
+            FROM (SELECT * REPLACE (trim(unit, ' ') AS unit) FROM written)),
+masked AS (SELECT *, regexp_replace(unit, '[^\s0-9]*[0-9]\S*', '{line_dedup.FIELD}', 'g') AS masked FROM counted
+           WHERE tokens >= CASE WHEN part = 0 THEN {line_dedup.LINE_TOKENS} ELSE {line_dedup.SENTENCE_TOKENS} END),
+placed AS (
+  SELECT *, CASE WHEN fixed >= {line_dedup.FIXED_TOKENS} AND 2 * fixed > tokens THEN masked ELSE unit END AS template
+  FROM (SELECT *, len(regexp_extract_all(masked, '\p{{L}}\S*')) AS fixed FROM masked)),
+parted AS (
+  SELECT doc_id, line, part, template, tokens, string_split(template, ' ') AS w,
+         CAST(ceil((tokens - {line_dedup.LEADING_TOKENS}) / {line_dedup.STRETCHES}.0) AS BIGINT) AS size FROM placed),
+units AS (
+  SELECT doc_id, line, part, template, (tokens, w[1:{line_dedup.LEADING_TOKENS}]) AS leaf,
+         CASE WHEN tokens BETWEEN {line_dedup.MERGED[0]} AND {line_dedup.MERGED[1]} THEN
+           list_transform(range(0, {line_dedup.STRETCHES}), lambda k:
+             w[{line_dedup.LEADING_TOKENS} + k * size + 1:{line_dedup.LEADING_TOKENS} + (k + 1) * size]) END AS stretches
+  FROM parted),
+templates AS (SELECT leaf, template, any_value(stretches) AS stretches, min(doc_id) AS first_doc, max(doc_id) AS last_doc
+              FROM units GROUP BY leaf, template),
+fields AS (  -- a template once for each field it may have
+  SELECT leaf, template, first_doc, field, list_concat(stretches[1:field], stretches[field + 2:]) AS others
+  FROM (SELECT *, unnest(range(0, {line_dedup.STRETCHES})) AS field FROM templates WHERE stretches IS NOT NULL)),
+alike AS (SELECT leaf, field, others, min(first_doc) AS merged FROM fields GROUP BY ALL HAVING count(*) > 1),
+keepers AS (
+  SELECT t.leaf, t.template, least(t.first_doc, min(a.merged)) AS keeper, t.last_doc
+  FROM templates t LEFT JOIN (SELECT leaf, template, merged FROM fields JOIN alike USING (leaf, field, others)) a
+    ON t.leaf = a.leaf AND t.template = a.template GROUP BY t.leaf, t.template, t.first_doc, t.last_doc),
+dropped AS (SELECT doc_id, line, part FROM units JOIN keepers USING (leaf, template) WHERE keeper <> last_doc AND doc_id <> keeper),
 sentences AS (
   SELECT doc_id, line, unnest(range(1, len(sentences) + 1)) AS part, unnest(sentences) AS unit,
          len(sentences) AS n FROM closed),
