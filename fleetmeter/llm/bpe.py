@@ -17,6 +17,7 @@ whole; repeated rows are encoded alike. Rows keep their own columns.
 
 import hashlib
 import json
+import os
 import re
 import unicodedata
 
@@ -27,9 +28,14 @@ import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words, and pieces of text between white space in each of two generations, that a
-#: task remembers.
-REMEMBERED = 250_000
+#: Bytes of what a worker remembers: words, and pieces of text between white space in each
+#: of two generations, so three times as much in all. Longer pieces are never remembered.
+REMEMBERED = 40 << 20
+LONGEST_REMEMBERED = 64
+#: Pairs of tokens of which a worker remembers whether they stand compatibly.
+REMEMBERED_PAIRS = 300_000
+#: Bytes of an entry beside its letters: five objects and their place in the dictionary.
+_ENTRY_BYTES = 380
 _NEVER = 1 << 40
 _END = "Ā"
 
@@ -53,6 +59,10 @@ def _byte_letters():
     return {chr(b if b in printed else next(spare)): b for b in range(256)}
 
 
+def _entry_bytes(key, entry):
+    return _ENTRY_BYTES + len(key) + len(entry[0]) + len(entry[1])
+
+
 class WordBpe:
     """A word-end BPE vocabulary of the `tokenizers` file format."""
 
@@ -85,7 +95,10 @@ class WordBpe:
         self._sides, self._fits = {}, {}
         #: Pieces of text that are tokens as they stand.
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
+        #: What all of these begin with: a text without it has none.
+        self._special_start = os.path.commonprefix(list(self.specials))
         self._new, self._old, self._word_entries = {}, {}, {}
+        self._new_bytes = self._word_bytes = 0
 
     def _side(self, token, child):
         """The border parts of a token, outermost first: (part, rank that swallows it)."""
@@ -107,7 +120,7 @@ class WordBpe:
         key = first << 20 | second
         fits = self._fits.get(key)
         if fits is None:
-            if len(self._fits) > 4 * REMEMBERED:
+            if len(self._fits) >= REMEMBERED_PAIRS:
                 self._fits.clear()
             fits = self._fits[key] = self._compatible(first, second)
         return fits
@@ -156,9 +169,12 @@ class WordBpe:
         if entry is None:
             ids = self.encode_word(word)
             entry = (" ".join(map(str, ids)), self.decode(ids))
-            if len(self._word_entries) >= REMEMBERED:
-                self._word_entries.clear()
-            self._word_entries[word] = entry
+            if len(word) <= LONGEST_REMEMBERED:
+                self._word_bytes += _entry_bytes(word, entry)
+                if self._word_bytes > REMEMBERED:
+                    self._word_entries.clear()
+                    self._word_bytes = _entry_bytes(word, entry)
+                self._word_entries[word] = entry
         return entry
 
     def _piece_entry(self, piece):
@@ -178,9 +194,11 @@ class WordBpe:
             else:
                 entries = [self._word_entry(word) for word in _PLAIN_WORDS.findall(piece)]
                 entry = (" ".join([e[0] for e in entries]), " ".join([e[1] for e in entries]))
-        if len(self._new) >= REMEMBERED:
-            self._old, self._new = self._new, {}
-        self._new[piece] = entry
+        if len(piece) <= LONGEST_REMEMBERED:
+            self._new_bytes += _entry_bytes(piece, entry)
+            if self._new_bytes > REMEMBERED:
+                self._old, self._new, self._new_bytes = self._new, {}, _entry_bytes(piece, entry)
+            self._new[piece] = entry
         return entry
 
     def _plain_entries(self, text):
@@ -204,7 +222,7 @@ class WordBpe:
 
     def entries(self, text):
         """(ids as text, decoded text) of the parts of a text, in order."""
-        if self._special is not None and "<|" in text:
+        if self._special is not None and self._special_start in text:
             pieces = self._special.split(text)
         else:
             pieces = [text]
