@@ -7,7 +7,8 @@ on labelled rows the weights have not seen.
 
 Defined cases: NULL and empty texts have the statistics of an empty text; rows
 without an id are scored but never learned from; ids listed twice in the labels count
-twice; with labels of one class only every score is 0.5.
+twice; with labels of one class only every score is 0.5; an empty table gives no rows. A text
+longer than a chunk is measured slice by slice. Columns other than the two named are not read.
 """
 
 import numpy as np
@@ -15,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetmeter.llm.batches import SOLID_BYTES, text_chunks, word_bounds, word_hashes
-from fleetmeter.llm.toxicity import fold_of
+from fleetmeter.llm.batches import (
+    CHUNK_BYTES, SOLID_BYTES, hashed_runs, slices, text_chunks, word_bounds, word_hashes,
+)
 from fleetmeter.sources.staging import staged
 
 COSINES = 192
@@ -46,20 +48,41 @@ STATISTICS = (
 )
 
 
+def _kinds_and_words(data, starts):
+    """Bytes of each kind by text, hashes and lengths of the words, and the words before each text."""
+    texts = len(starts) - 1
+    if len(data) <= CHUNK_BYTES:
+        raw = np.frombuffer(data, np.uint8)
+        owner = np.repeat(np.arange(texts), np.diff(starts))
+        kinds = np.bincount(owner * _N_KINDS + _KINDS[raw], minlength=texts * _N_KINDS)
+        begins, ends, at = word_bounds(raw, starts, SOLID_BYTES)
+        return kinds.reshape(texts, _N_KINDS), word_hashes(raw, begins, ends), ends - begins, at
+    # One text, slice by slice.
+    kinds, lengths = np.zeros((1, _N_KINDS), np.int64), []
+    for begin in range(0, len(data), CHUNK_BYTES):
+        piece = np.frombuffer(data, np.uint8, min(CHUNK_BYTES, len(data) - begin), begin)
+        kinds[0] += np.bincount(_KINDS[piece], minlength=_N_KINDS)
+    for begin, end, whole in slices(data, SOLID_BYTES):
+        if whole:
+            lengths.append(np.array([end - begin]))
+        else:
+            piece = np.frombuffer(data, np.uint8, end - begin, begin)
+            begins, ends, _ = word_bounds(piece, np.array([0, len(piece)]), SOLID_BYTES)
+            lengths.append(ends - begins)
+    hashes, at, _ = hashed_runs(data, starts, SOLID_BYTES)
+    return kinds, hashes, np.concatenate(lengths), at
+
+
 def _statistics(data, starts):
     """One row of STATISTICS for each text of a chunk."""
-    raw = np.frombuffer(data, np.uint8)
     texts = len(starts) - 1
-    owner = np.repeat(np.arange(texts), np.diff(starts))
-    kinds = np.bincount(owner * _N_KINDS + _KINDS[raw], minlength=texts * _N_KINDS)
-    kinds = kinds.reshape(texts, _N_KINDS).astype(float)
+    kinds, hashes, lengths, at = _kinds_and_words(data, starts)
+    kinds = kinds.astype(float)
     size = np.maximum(np.diff(starts), 1).astype(float)
-    begins, ends, at = word_bounds(raw, starts, SOLID_BYTES)
     words = np.diff(at).astype(float)
     many = np.maximum(words, 1)
-    hashes = word_hashes(raw, begins, ends)
     word_owner = np.repeat(np.arange(texts), np.diff(at))
-    lengths = np.minimum(ends - begins, 64).astype(float)
+    lengths = np.minimum(lengths, 64).astype(float)
     mean = np.bincount(word_owner, lengths, texts) / many
     square = np.bincount(word_owner, lengths * lengths, texts) / many
     same = np.zeros(len(hashes), bool)
@@ -239,6 +262,3 @@ def quality(docs, labels, id_column="doc_id", text_column="text", label_column="
     """(id, score) of every row; statistics are measured once and written."""
     measured = staged(statistics(docs, id_column, text_column), "quality-statistics")
     return scored(measured, train(measured, labels, id_column, label_column, learnable))
-
-
-__all__ = ["quality", "statistics", "train", "scored", "fold_of", "THRESHOLD"]

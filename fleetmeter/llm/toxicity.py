@@ -6,7 +6,9 @@ between toxic and other training texts; a logistic regression weighs them.
 
 Defined cases: NULL and empty texts score by the intercept alone; rows without an
 id are scored but never learned from; ids listed twice in the labels count twice;
-with no label of one of the classes every score is 0.5.
+with no label of one of the classes every score is 0.5; features as good as each other
+are taken in the order of their bytes; an empty table gives no rows. A text longer than a
+chunk is searched piece by piece. Rows keep their own columns.
 """
 
 import numpy as np
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetmeter.llm.batches import LOWER, WORD_BYTES, text_chunks
+from fleetmeter.llm.batches import CHUNK_BYTES, LOWER, WORD_BYTES, text_chunks
 
 ORDERS = (4, 5, 6)
 #: Training rows of each class, chosen by a hash of the id: the bound of the sample.
@@ -44,11 +46,19 @@ def _mask(order):
     return np.uint64((1 << (8 * order)) - 1)
 
 
+def _windows(data):
+    """A long text in pieces of a chunk, each with the start of the next, so that no n-gram is cut."""
+    for begin in range(0, max(len(data), 1), CHUNK_BYTES):
+        yield data[begin:begin + CHUNK_BYTES + ORDERS[-1] - 1]
+
+
 def _distinct_grams(data):
-    grams = _grams(data)
-    return np.unique(np.concatenate([
-        np.unique(grams[:max(0, len(data) - order + 1)] & _mask(order)) for order in ORDERS
-    ]))
+    found = np.zeros(0, np.uint64)
+    for piece in _windows(data):
+        grams = _grams(piece)
+        own = [np.unique(grams[:max(0, len(piece) - order + 1)] & _mask(order)) for order in ORDERS]
+        found = np.unique(np.concatenate([found, *own]))
+    return found
 
 
 def _counted(batches):
@@ -94,6 +104,11 @@ def _lookup(features):
 
 def _hits(data, starts, features, table):
     """(text, feature) pairs of the texts in a chunk, each once."""
+    if len(data) > CHUNK_BYTES + ORDERS[-1]:
+        # One text, piece by piece.
+        found = [_hits(piece, np.array([0, len(piece)]), features, table)[1] for piece in _windows(data)]
+        own = np.unique(np.concatenate(found))
+        return np.zeros(len(own), np.int64), own
     grams = _grams(data)
     found = []
     for order in ORDERS:
