@@ -6,7 +6,7 @@ counts the pairs instead.
 """
 
 from checks.queries import (
-    AS_OF, CATEGORIES, CODES, DEEP_PAGE, FIRST_DAY, LAST_DAY, LISTED_COLUMNS, PAGE_LAST, PERIODS, PRODUCTS,
+    AS_OF, CATEGORIES, CODES, DEEP_PAGE, FIRST_DAY, LARGE_FACTORS, LAST_DAY, LISTED_COLUMNS, PAGE_LAST, PERIODS, PRODUCTS,
 )
 from fleetmeter.fixed_values import BRANDS, STATUSES
 
@@ -324,6 +324,15 @@ amounts AS (
 SHOWN = "SELECT asset_code, size, CAST(whole AS DOUBLE) AS amount, {text} AS shown FROM amounts"
 over_fact("format_price", SHOWN.format(text=shown("whole", "Rp ", ",00")), AMOUNTS)
 over_fact("format_number", SHOWN.format(text=shown("whole", "", "")), AMOUNTS)
+# Doubles of this size have no fraction: a whole number of 128 bits is exact.
+over_fact("format_large", """
+SELECT asset_code, amount, 'Rp ' || text || CASE WHEN amount < 0 THEN ',00' ELSE ',00 T' END AS price,
+       text || CASE WHEN amount < 0 THEN '' ELSE ',00 T' END AS number
+FROM (SELECT asset_code, amount,
+             CAST(CAST(CASE WHEN amount < 0 THEN amount ELSE amount / 1e12 END AS HUGEINT) AS VARCHAR) AS text
+      FROM large)""", AMOUNTS + f""",
+large AS (SELECT asset_code, CAST(steps AS DOUBLE) * unnest([{', '.join(f'{x:.0e}::DOUBLE' for x in LARGE_FACTORS)}]) AS amount
+          FROM totals WHERE steps > 0)""")
 over_trend("format_grouped", "category", "quarter", """
 SELECT *, format('{:,}', CAST(round(total_price) AS BIGINT)) AS shown FROM (
   SELECT quarter_column_1, asset_category, """ + MONEY + """ AS total_price

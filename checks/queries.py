@@ -13,8 +13,8 @@ from fleetmeter.plans import service_status
 from fleetmeter.plans.service_status import ServiceHistory
 from fleetmeter.schema import MAINTENANCE_SCHEMA, TREND_SCHEMA
 from fleetmeter.sources import readers, shaping
-from fleetmeter.sources.staging import staged, staging_folder, staging_path
-from fleetmeter.sources.star import consumption_records, hour_records, star_fact
+from fleetmeter.sources.staging import files_version, staged, staging_folder, staging_path
+from fleetmeter.sources.star import TABLES, consumption_records, hour_records, star_fact
 
 CATEGORIES = ["NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5"]
 CATEGORIES_AND_NULL = [*CATEGORIES, None]
@@ -24,6 +24,7 @@ FIRST_DAY, LAST_DAY = "1997-03-01", "1998-04-30"
 AS_OF = "1999-06-30 12:00:00"
 PERIODS = ("1997-03", "1998-04")
 DEEP_PAGE = 150
+LARGE_FACTORS = [-1e17, -1e22, 1e26]
 PAGE_LAST = {
     "service_number": 100, "asset_category": "NATION_3", "asset_code": "Supplier#000000003",
     "asset_name": "Unit 3", "product_name": "red widget", "service_count": 1,
@@ -51,9 +52,10 @@ _FACTS = {}
 def _maintenance_fact(spark, folder):
     """The maintenance fact as a table: seven branches of the history read it.
 
-    Written once for each session and folder of tables; later queries read it again.
+    Written once for each session and state of the tables' files; later queries read it again.
     """
-    key = (spark.sparkContext.applicationId, staging_folder(spark), folder)
+    version = files_version(spark, [f"{folder}/{name}.parquet" for name in TABLES])
+    key = (spark.sparkContext.applicationId, staging_folder(spark), version)
     if key not in _FACTS:
         fact = readers.conform(star_fact(spark, folder), MAINTENANCE_SCHEMA)
         _FACTS[key] = staged(fact, "fact", by=["source"])
@@ -380,6 +382,15 @@ def format_number(fact):
     return _amounts(fact).withColumn("shown", number_text(F.col("amount")))
 
 
+@query
+def format_large(fact):
+    """Amounts beyond 1e19, either side of zero."""
+    amounts = _amounts(fact).where("size = 1 AND amount > 0")
+    sizes = F.array(*[F.col("amount") * F.lit(factor) for factor in LARGE_FACTORS])
+    large = amounts.select("asset_code", F.explode(sizes).alias("amount"))
+    return large.withColumns({"price": price_text(F.col("amount")), "number": number_text(F.col("amount"))})
+
+
 @query
 def format_grouped(fact):
     line = trend.cost_line(fact, "category", "quarter")

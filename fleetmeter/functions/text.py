@@ -11,13 +11,41 @@ def _decimal(column):
     return F.when(F.abs(column) < F.lit(1e19), column).cast("decimal(25,6)")
 
 
-def _scaled(column, prefix, small):
-    """Largest scale the amount reaches, two decimals, ties to even."""
+def whole_digits(column):
+    """Every digit of a double without a fraction, below 2^125 in size.
+
+    A double is 53 bits times a power of two. It is cut at 2^62: both halves are exact
+    and fit a long, and are put together as a decimal. Casting the double itself would
+    fill up with zeros after its shortest spelling.
+    """
+    size = F.abs(column)
+    high = F.floor(size / float(1 << 62))
+    low = (size - high.cast("double") * float(1 << 62)).cast("long")
+    whole = high.cast("decimal(20,0)") * F.lit(1 << 62).cast("decimal(19,0)") + low.cast("decimal(19,0)")
+    return F.concat(F.when(column < 0, F.lit("-")).otherwise(F.lit("")), whole.cast("string"))
+
+
+_LARGEST = float(1 << 125)
+
+
+def _written(column):
+    """Two decimals of an amount of 1e6 or more in size; from 2^53 on there is no fraction."""
+    whole = (F.abs(column) >= float(1 << 53)) & (F.abs(column) < _LARGEST)
+    return F.when(whole, F.concat(whole_digits(F.when(whole, column)), F.lit(".00"))).otherwise(
+        F.format_string("%.2f", column))
+
+
+def _scaled(column, prefix, small, large):
+    """Largest scale the amount reaches, two decimals, ties to even.
+
+    `small` writes an amount below a thousand, `large` takes the text of one below -1e19.
+    """
     amount = _decimal(column)
-    # From here on neighbouring doubles are over a hundred apart: no ties to settle.
     power, letter = SCALES[0]
     text = F.when(column >= F.lit(1e18), F.concat(
-        F.lit(prefix), F.format_string("%.2f", column / float(10 ** power)), F.lit(f" {letter}")))
+        F.lit(prefix), _written(column / float(10 ** power)), F.lit(f" {letter}")))
+    # Debts of any size are below a thousand.
+    text = text.when(column <= F.lit(-1e19), F.concat(F.lit(prefix), large(_written(column))))
     for power, letter in SCALES:
         factor = F.expr(f"cast('1e-{power}' as decimal({power},{power}))")
         value = F.bround(amount * factor, 2).cast("decimal(24,2)").cast("string")
@@ -31,14 +59,16 @@ def _scaled(column, prefix, small):
 def price_text(column):
     """`Rp 1,12 rb`; below a thousand two decimals. NULL stays NULL."""
     return _scaled(
-        column, PRICE_PREFIX, lambda amount: F.bround(amount, 2).cast("decimal(24,2)").cast("string")
+        column, PRICE_PREFIX, lambda amount: F.bround(amount, 2).cast("decimal(24,2)").cast("string"),
+        lambda text: text,
     )
 
 
 def number_text(column):
     """`1,12 rb`; below a thousand no decimals. NULL stays NULL."""
     return _scaled(
-        column, "", lambda amount: F.bround(amount, 0).cast("decimal(24,0)").cast("string")
+        column, "", lambda amount: F.bround(amount, 0).cast("decimal(24,0)").cast("string"),
+        lambda text: F.substring_index(text, ".", 1),
     )
 
 

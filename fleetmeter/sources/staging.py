@@ -1,27 +1,57 @@
 """Writing an intermediate result once, where several branches of a plan read it."""
 
+import contextlib
+import os
+import re
 import uuid
 
 FILE_ROWS = 5_000_000
 
+_folders = []
+
 
 def staging_folder(spark):
     """The folder for written tables that the session states.
 
     `spark.checkpoint.dir`, or where that is unset the place of Spark's own tables,
-    `spark.sql.warehouse.dir`. On a cluster both are shared by all executors.
+    `spark.sql.warehouse.dir`. On a cluster both are shared by all executors; Spark's own
+    default for the latter, a folder beside the driver, is taken in local mode only.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.conf.get("spark.sql.warehouse.dir", None)
-    if not shared:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)
+        if not local and (not shared or shared.removeprefix("file:") == f"{os.getcwd()}/spark-warehouse"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return shared.rstrip("/")
 
 
 def staging_path(spark, label):
     """A new path in the staging folder."""
-    return f"{staging_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = _folders[-1] if _folders else staging_folder(spark)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def temporary_tables(spark):
+    """Tables written inside are deleted at the end; by then results must be written elsewhere.
+
+    Contexts may be nested; each deletes its own folder only.
+    """
+    folder = staging_path(spark, "temporary")
+    _folders.append(folder)
+    try:
+        yield folder
+    finally:
+        _folders.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def files_version(spark, paths):
+    """What tells one state of some folders of Parquet files from another: names, times and sizes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(list(paths))
+    return frozenset(map(tuple, files.select("path", "modificationTime", "length").collect()))
 
 
 def staged(df, label, by=()):

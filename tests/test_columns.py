@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetmeter.functions import dates, numbers, text
 from fleetmeter.functions.numbers import exact_sum, mean_price, total_price
-from fleetmeter.functions.text import price_text
+from fleetmeter.functions.text import number_text, price_text
 
 
 def values(spark, expression, inputs, kind):
@@ -135,3 +135,13 @@ def test_texts_have_no_ceiling(spark):
     amounts = spark.createDataFrame([(1e19,), (1e24,), (2.5e18,), (-3.0,)], "amount double")
     shown = [r[0] for r in amounts.select(price_text(F.col("amount"))).collect()]
     assert shown == ["Rp 10000000,00 T", "Rp 1000000000000,00 T", "Rp 2500000,00 T", "Rp -3,00"]
+
+
+@pytest.mark.parametrize("amount", [-2e19, -1e19, -1.5e23, -123456789e20, -4e37, 1e18, 3e25, 1e23 * 7, 1.2345e36])
+def test_digits_of_large_amounts(spark, amount):
+    """As Python writes the same doubles, digit by digit."""
+    price, number = spark.range(1).select(price_text(F.lit(amount)), number_text(F.lit(amount))).first()
+    if amount < 0:
+        assert price == f"Rp {amount:.2f}".replace(".", ",") and number == f"{amount:.0f}"
+    else:
+        assert price == f"Rp {amount / 1e12:.2f} T".replace(".", ",")

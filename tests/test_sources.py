@@ -70,3 +70,95 @@ def test_staging_ends_lineage(spark):
     frame = staging.staged(spark.range(5), "numbers")
     assert frame.count() == 5
     assert staging.staging_folder(spark) in frame.inputFiles()[0]
+
+
+def test_temporary_tables_go(spark, tmp_path):
+    result = str(tmp_path / "result")
+    with staging.temporary_tables(spark) as folder:
+        kept = staging.staged(spark.range(10), "numbers")
+        with staging.temporary_tables(spark) as inner:
+            assert inner.startswith(folder)
+            staging.staged(spark.range(3), "more").write.parquet(result)
+        files = kept.inputFiles()
+        assert files and all(folder.removeprefix("file:") in f for f in files) and kept.count() == 10
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
+    assert spark.read.parquet(result).count() == 3
+    assert not staging.staging_path(spark, "x").startswith(folder)
+
+
+def test_rewritten_tables_are_another_version(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(5).write.parquet(path)
+    first = staging.files_version(spark, [path])
+    assert first == staging.files_version(spark, [path])
+    spark.range(6).write.mode("overwrite").parquet(path)
+    assert first != staging.files_version(spark, [path])
+
+
+class _Cluster:
+    """Stands for a session on a cluster with the given settings."""
+
+    def __init__(self, **settings):
+        self.sparkContext = type("Context", (), {"master": "spark://host:7077"})
+        self.conf = type("Conf", (), {"get": lambda _, key, default=None: settings.get(key.split(".")[1], default)})()
+
+
+def test_cluster_needs_a_stated_folder():
+    import os
+    assert staging.staging_folder(_Cluster(checkpoint="hdfs://x/c/")) == "hdfs://x/c"
+    assert staging.staging_folder(_Cluster(sql="hdfs://x/w")) == "hdfs://x/w"
+    with pytest.raises(RuntimeError):
+        staging.staging_folder(_Cluster(sql=f"file:{os.getcwd()}/spark-warehouse"))
+
+
+@pytest.fixture(scope="module")
+def laid_out(spark):
+    from fleetmeter.sources.layout import write_fact
+    name = "fact_by_asset"
+    assert write_fact(readers.conform(star_fact(spark, FOLDER), MAINTENANCE_SCHEMA), name, 4)
+    yield readers.read_maintenance_fact(spark, name, fmt="table")
+    spark.sql(f"DROP TABLE {name}")
+
+
+def _exchanges(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_grouping_by_asset_needs_no_shuffle(spark, laid_out):
+    from fleetmeter.operators import maintenance
+    fact = readers.conform(star_fact(spark, FOLDER), MAINTENANCE_SCHEMA)
+    views = [maintenance.hour_readings, maintenance.latest_readings,
+             lambda rows: maintenance.reading_days(maintenance.hour_readings(rows)),
+             lambda rows: maintenance.consumption(shaping.cost_rows(rows))]
+    for view in views:
+        assert _exchanges(view(laid_out)) == 0 < _exchanges(view(fact))
+        assert view(laid_out).exceptAll(view(fact)).isEmpty() and view(fact).exceptAll(view(laid_out)).isEmpty()
+
+
+def test_one_source_and_a_range_of_dates_reach_the_scan(laid_out):
+    from fleetmeter.operators import predicates
+    rows = shaping.hour_rows(laid_out).where(predicates.within_days("date", "1996-01-01", "1996-03-31"))
+    scan = next(line for line in rows._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line)
+    assert "source" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(date" in scan and "LessThan(date" in scan
+
+
+def test_a_hot_asset_is_not_bucketed(spark):
+    from fleetmeter.sources.layout import write_fact
+    fact = readers.conform(star_fact(spark, FOLDER), MAINTENANCE_SCHEMA)
+    hot = fact.withColumn("asset_code", F.when(F.col("product_bought_qty") > 10, "X").otherwise(F.col("asset_code")))
+    assert not write_fact(hot, "fact_by_date", 16)
+    try:
+        table = readers.read_maintenance_fact(spark, "fact_by_date", fmt="table")
+        assert table.exceptAll(hot).isEmpty() and hot.exceptAll(table).isEmpty()
+    finally:
+        spark.sql("DROP TABLE fact_by_date")
+
+
+def test_no_rows_are_laid_out(maintenance_fact, spark):
+    from fleetmeter.sources.layout import write_fact
+    assert write_fact(maintenance_fact([]), "fact_of_nothing", 3)
+    assert spark.table("fact_of_nothing").count() == 0
+    spark.sql("DROP TABLE fact_of_nothing")
