@@ -89,6 +89,9 @@ def _statistics(data, starts):
     same[1:] = (hashes[1:] == hashes[:-1]) & (word_owner[1:] == word_owner[:-1])
     pairs = hashes.copy()
     pairs[1:] += hashes[:-1] * np.uint64(31)
+    # A text's first word follows none, whatever stands before it in the chunk.
+    first = at[:-1][np.diff(at) > 0]
+    pairs[first] = hashes[first]
     distinct = np.array([len(np.unique(hashes[a:b])) for a, b in zip(at[:-1], at[1:])], float)
     distinct_pairs = np.array([len(np.unique(pairs[a:b])) for a, b in zip(at[:-1], at[1:])], float)
     return np.column_stack([
