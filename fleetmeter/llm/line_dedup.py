@@ -40,8 +40,10 @@ FIELD = "<*>"
 MERGED = (8, 23)
 STRETCHES = 4
 
-# Split points: after a line's end, after a sentence's.
-_AFTER_LINE, _AFTER_SENTENCE = "(?<=\n)", "(?<=[.!?] )"
+# The point after a sentence's end, and a mark put there, which is faster to split at where
+# the text has none of its own.
+_AFTER_SENTENCE, _MARK = "(?<=[.!?] )", "\x01"
+_SENTENCE_ENDS = (". ", "! ", "? ")
 
 _FIRST = -(1 << 63)
 
@@ -50,6 +52,14 @@ def _replaced(text, old, new):
     return F.replace(text, F.lit(old), F.lit(new))
 
 
+def sentences_of(line):
+    """A line as an array of sentences; an end at the end of the line opens an empty one."""
+    marked = line
+    for end in _SENTENCE_ENDS:
+        marked = _replaced(marked, end, end + _MARK)
+    return F.when(F.instr(line, _MARK) > 0, F.split(line, _AFTER_SENTENCE)).otherwise(F.split(marked, _MARK))
+
+
 def generalised(unit):
     """Tokens with a digit as fields; `unit` is trimmed."""
     return F.when(unit.rlike("[0-9]"), F.regexp_replace(unit, VARIABLE, FIELD)).otherwise(unit)
@@ -62,7 +72,7 @@ def told_apart(template, tokens):
 
 
 def _occurrences(text, part):
-    return (F.length(text) - F.length(_replaced(text, part, ""))) / F.lit(len(part))
+    return (F.octet_length(text) - F.octet_length(_replaced(text, part, ""))) / F.lit(len(part))
 
 
 def _document(id_column):
@@ -85,24 +95,28 @@ def units(docs, id_column, text_column):
 
     `leaf` stands for the number of tokens and the leading ones, `template` for all of them.
     """
-    lines = docs.select(
-        _document(id_column).alias("document"), F.xxhash64(text_column).alias("text_hash"),
-        F.posexplode(F.split(text_column, "\n")).alias("line", "content"),
-    )
-    sentences = lines.select("document", "text_hash", "line", "content", F.split("content", _AFTER_SENTENCE).alias("sentences"))
+    # Each step is a projection of its own: what is used more than once is made once.
+    texts = docs.select(_document(id_column).alias("document"), F.xxhash64(text_column).alias("text_hash"),
+                        F.split(text_column, "\n").alias("lines"))
+    # The outer form infers no condition that would split each text once more.
+    lines = texts.select("document", "text_hash", F.posexplode_outer("lines").alias("line", "content"))
+    sentences = lines.select("document", "text_hash", "line", "content", sentences_of(F.col("content")).alias("sentences"),
+                             F.col("content").rlike("[0-9]").alias("digits"))
     parts = F.when(F.size("sentences") > 1, F.concat(F.array("content"), F.col("sentences"))).otherwise(F.col("sentences"))
-    every = sentences.select("document", "text_hash", "line", F.posexplode(parts).alias("part", "unit"))
+    every = sentences.select("document", "text_hash", "line", "digits", F.posexplode(parts).alias("part", "unit"))
     every = every.withColumn("unit", F.btrim("unit", F.lit(" ")))
-    # Spaces say how many tokens there are before any of them is looked at.
-    tokens = F.octet_length("unit") - F.octet_length(_replaced(F.col("unit"), " ", "")) + 1
+    every = every.withColumn("masked", F.when(F.col("digits"), generalised(F.col("unit"))).otherwise(F.col("unit")))
+    told = F.when(F.col("digits"), (F.col("masked") == F.col("unit")) | told_apart(
+        F.col("masked"), F.size(F.split("masked", " ")))).otherwise(True)
+    every = every.withColumn("kept", F.when(told, F.col("masked")).otherwise(F.col("unit")))
+    every = every.withColumn("words", F.split("kept", " "))
     least = F.when(F.col("part") == 0, LINE_TOKENS).otherwise(SENTENCE_TOKENS)
-    long = every.withColumn("tokens", tokens).where(F.col("tokens") >= least).withColumn("masked", generalised(F.col("unit")))
-    own = F.when((F.col("masked") == F.col("unit")) | told_apart(F.col("masked"), F.col("tokens")), F.col("masked"))
-    words = long.withColumn("words", F.split(F.coalesce(own, F.col("unit")), " "))
-    return words.select(
-        "document", "text_hash", "line", "part",
-        F.xxhash64("tokens", F.slice("words", 1, LEADING_TOKENS)).alias("leaf"), F.xxhash64("words").alias("template"),
+    place = F.struct(
+        F.xxhash64(F.size("words"), F.slice("words", 1, LEADING_TOKENS)).alias("leaf"), F.xxhash64("kept").alias("template"),
         *[_stretch(number) for number in range(STRETCHES)])
+    # A generator in place of a condition, which would be moved down and split each unit once more.
+    long = F.when(F.size("words") >= least, F.array(place))
+    return every.select("document", "text_hash", "line", "part", F.inline(long))
 
 
 def merged_templates(templates):
@@ -145,12 +159,12 @@ def deduplicated(docs, id_column="doc_id", text_column="text"):
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), _document(id_column).alias("document"), F.xxhash64(text_column).alias("text_hash"),
     )
-    joined = rows.join(marks, ["document", "text_hash"], "left").withColumn("text", F.col(f"row.`{text_column}`"))
+    # Texts are dealt but not sorted: what is looked up are the codes, a few numbers for each text.
+    joined = rows.join(marks.hint("shuffle_hash"), ["document", "text_hash"], "left").withColumn(
+        "text", F.col(f"row.`{text_column}`"))
     # Only for texts that lose something: lines as arrays of sentences, the codes of
     # all sentences of lines not dropped whole, and of these the codes not dropped.
-    nested = F.when(F.col("codes").isNotNull(), F.transform(
-        F.split("text", _AFTER_LINE), lambda line: F.split(line, _AFTER_SENTENCE)
-    ))
+    nested = F.when(F.col("codes").isNotNull(), F.transform(F.split("text", "\n"), sentences_of))
     joined = joined.withColumn("nested", nested)
     lines = F.sequence(F.lit(0), F.size("nested") - 1)
     whole = F.array_except(F.transform(lines, lambda line: line.cast("long") * F.lit(_CODE)), F.col("codes"))
@@ -159,9 +173,15 @@ def deduplicated(docs, id_column="doc_id", text_column="text"):
         lambda part: code + part,
     )))
     joined = joined.withColumn("kept", F.array_except(every, F.col("codes")))
-    text = F.array_join(F.transform("kept", lambda code: F.get(
-        F.get("nested", F.shiftright(code, 32).cast("int")), (code % F.lit(_CODE)).cast("int") - 1
-    )), "")
+
+    def piece(code):
+        """A sentence, the last of a line with the line's end."""
+        line, part = F.shiftright(code, 32).cast("int"), (code % F.lit(_CODE)).cast("int")
+        own = F.get("nested", line)
+        ends = (part == F.size(own)) & (line < F.size("nested") - 1)
+        return F.when(ends, F.concat(F.get(own, part - 1), F.lit("\n"))).otherwise(F.get(own, part - 1))
+
+    text = F.array_join(F.transform("kept", piece), "")
     sentences = F.lit(1) + sum(_occurrences(F.col("text"), end) for end in ("\n", ". ", "! ", "? "))
     counted = F.coalesce(sentences.cast("long"), F.lit(0).cast("long"))
     return joined.select(
