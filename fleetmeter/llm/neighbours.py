@@ -195,6 +195,18 @@ def fit(vectors, parts, neighbours, recall=RECALL):
     return router
 
 
+def best_places(score, count):
+    """(row, column) of the `count` largest of each row, largest first, ties to the smaller column."""
+    count = min(count, score.shape[1])
+    # All at the last place's score, so that ties are settled by column.
+    least = np.partition(score, score.shape[1] - count, axis=1)[:, score.shape[1] - count]
+    row, at = np.nonzero(score >= least[:, None])
+    order = np.lexsort((at, -score[row, at], row))
+    row, at = row[order], at[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < count], at[place < count]
+
+
 def usable(vectors, id_column, vector_column):
     """(vec_id, embedding) of the vectors that take part, one for each id."""
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"),
@@ -281,17 +293,11 @@ def neighbours(vectors, asked, k=20, id_column="vec_id", vector_column="embeddin
         held = held.sort_values("entry")
         vectors_here = np.stack(held["embedding"].to_numpy())
         ids = held["ids"].to_numpy()
-        out = []
+        names, out = asking["query_id"].to_numpy(), []
         for begin in range(0, len(asking), 256):
-            some = asking.iloc[begin:begin + 256]
-            score = np.stack(some["query"].to_numpy()) @ vectors_here.T
-            count = min(k + 1, score.shape[1])
-            for row, query_id in zip(score, some["query_id"]):
-                # All at the last place's score, so that ties are settled by id.
-                least = np.partition(row, len(row) - count)[len(row) - count]
-                at = np.flatnonzero(row >= least)
-                at = at[np.argsort(-row[at], kind="stable")][:count]
-                out.append(pd.DataFrame({"query_id": query_id, "score": row[at], "ids": ids[at]}))
+            score = np.stack(asking["query"].iloc[begin:begin + 256].to_numpy()) @ vectors_here.T
+            row, at = best_places(score, k + 1)
+            out.append(pd.DataFrame({"query_id": names[begin + row], "score": score[row, at], "ids": ids[at]}))
         return pd.concat(out)
 
     found = looks.groupBy("part", "block", "crowd").cogroup(

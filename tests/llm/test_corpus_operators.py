@@ -152,6 +152,15 @@ def test_neighbours_small(spark):
     assert list(found[found.query_id == 200].sort_values("rank").vec_id) == [201, 202, 203, 204, 205]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_best_places(seed):
+    score = np.random.default_rng(seed).integers(0, 5, (7, 9)).astype(float)
+    for count in (1, 4, 9, 20):
+        row, at = neighbours.best_places(score, count)
+        plain = [(i, j) for i in range(7) for j in sorted(range(9), key=lambda j: (-score[i, j], j))[:count]]
+        assert list(zip(row.tolist(), at.tolist())) == plain
+
+
 def test_neighbours_few_and_none(spark):
     schema = "vec_id long, embedding array<double>, label int"
     few = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, [0.0, 1.0], 1)], schema)
