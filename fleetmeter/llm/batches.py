@@ -8,6 +8,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 
@@ -34,6 +35,16 @@ def mixed(values):
     return x ^ (x >> np.uint64(31))
 
 
+def _stretches(offsets, limit):
+    """(first, last) of consecutive texts of `limit` bytes in all, or one longer text."""
+    first, count = 0, len(offsets) - 1
+    while first < count:
+        last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
+        last = min(max(last, first + 1), count)
+        yield first, last
+        first = last
+
+
 def text_chunks(column, limit=CHUNK_BYTES):
     """Yields (first row, starts, bytes): texts of a binary column; NULL is empty.
 
@@ -49,13 +60,28 @@ def text_chunks(column, limit=CHUNK_BYTES):
     _, offset_buffer, data_buffer = column.buffers()
     offsets = np.frombuffer(offset_buffer, np.int64)[column.offset:column.offset + count + 1]
     data = data_buffer if data_buffer is not None else pa.py_buffer(b"")
-    first = 0
-    while first < count:
-        last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), count)
+    for first, last in _stretches(offsets, limit):
         piece = data.slice(offsets[first], offsets[last] - offsets[first]).to_pybytes()
         yield first, offsets[first:last + 1] - offsets[first], piece
-        first = last
+
+
+def row_slices(batch, place, limit=CHUNK_BYTES):
+    """Yields (slice of the batch, its texts as bytes): rows whose texts take `limit` bytes, or one row.
+
+    The first column is a struct, whose field number `place` is the text: it need not be
+    sent a second time. What a task makes of its rows and hands back at once so follows
+    the bytes of a slice and not those of all rows that Spark puts into a batch.
+    """
+    texts = batch.column(0).field(place).cast(pa.large_binary())
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    for first, last in _stretches(np.concatenate([[0], np.cumsum(lengths)]), limit):
+        yield batch.slice(first, last - first), texts.slice(first, last - first)
+
+
+def field_place(df, name):
+    """Number of the column `name` among those of `df`; as in Spark, case may differ."""
+    names = df.columns
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
 
 
 def word_bounds(data, starts, table):

@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetmeter.llm.batches import field_place, row_slices
+
 #: Bytes of what a worker remembers: words, and pieces of text between white space in each
 #: of two generations, so three times as much in all. Longer pieces are never remembered.
 REMEMBERED = 40 << 20
@@ -256,18 +258,14 @@ def load(path):
     return _loaded[path]
 
 
-def encoded(docs, path, text_column="text", with_ids=True):
-    """(row, n_tokens, ids, ids_sha256, decoded_sha256) of every row.
-
-    `path` is a vocabulary file that every executor has, as part of its Python
-    installation. `ids` is NULL unless asked for.
-    """
+def _encoder(path, place, with_ids):
+    """Adds the columns of `encoded` for the text, field number `place` of `row`."""
 
     def encode(batches):
         vocabulary = load(path)
-        for batch in batches:
+        for piece, _ in (found for batch in batches for found in row_slices(batch, place)):
             counts, lists, id_digests, text_digests = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in piece.column(0).field(place).to_pylist():
                 entries = vocabulary.entries(text) if text else []
                 written = " ".join([e[0] for e in entries])
                 decoded = " ".join([e[1] for e in entries])
@@ -276,18 +274,27 @@ def encoded(docs, path, text_column="text", with_ids=True):
                 id_digests.append(hashlib.sha256(written.encode()).hexdigest())
                 text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(lists, pa.list_(pa.int32())),
+                [piece.column(0), pa.array(counts, pa.int64()), pa.array(lists, pa.list_(pa.int32())),
                  pa.array(id_digests), pa.array(text_digests)],
                 names=["row", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
             )
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_column).alias("text"))
+    return encode
+
+
+def encoded(docs, path, text_column="text", with_ids=True):
+    """(row, n_tokens, ids, ids_sha256, decoded_sha256) of every row.
+
+    `path` is a vocabulary file that every executor has, as part of its Python
+    installation. `ids` is NULL unless asked for.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     schema = T.StructType([
         rows.schema["row"], T.StructField("n_tokens", T.LongType()),
         T.StructField("ids", T.ArrayType(T.IntegerType())),
         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
     ])
-    return rows.mapInArrow(encode, schema)
+    return rows.mapInArrow(_encoder(path, field_place(docs, text_column), with_ids), schema)
 
 
 def decoded(encodings, path):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetmeter.llm.batches import LOWER, WORD_BYTES, text_chunks
+from fleetmeter.llm.batches import LOWER, WORD_BYTES, field_place, row_slices, text_chunks
 from fleetmeter.sources.staging import staged
 
 WINDOW_WORDS = 10
@@ -105,17 +105,19 @@ def merged(spans):
     return out
 
 
-def _block_scanner(windows):
-    """Adds what one block of windows hits to the columns n_words, hit_words, items."""
+def _block_scanner(windows, place):
+    """Adds what one block of windows hits to the columns n_words, hit_words, items.
+
+    The text is field number `place` of the first column, `row`.
+    """
 
     def scan(batches):
         automaton = _automaton(windows)
-        for batch in batches:
-            names = batch.schema.names
-            old_spans = batch.column(names.index("hit_words")).to_pylist()
-            old_items = batch.column(names.index("hit_items")).to_pylist()
+        for piece, texts in (found for batch in batches for found in row_slices(batch, place)):
+            names = piece.schema.names
+            old_spans = piece.column(names.index("hit_words")).to_pylist()
+            old_items = piece.column(names.index("hit_items")).to_pylist()
             counts, spans, items = [], [], []
-            texts = batch.column(names.index("text_utf8"))
             for first, starts, data in text_chunks(texts):
                 for row in range(len(starts) - 1):
                     count, hit, owners = automaton.scan(data[starts[row]:starts[row + 1]])
@@ -125,11 +127,11 @@ def _block_scanner(windows):
                         {"first_word": a, "end_word": b} for a, b in merged(before + hit)
                     ])
                     items.append(sorted(owners.union(old_items[first + row])))
-            columns = {name: batch.column(i) for i, name in enumerate(names)}
+            columns = {name: piece.column(i) for i, name in enumerate(names)}
             columns["n_words"] = pa.array(counts, pa.int64())
-            columns["hit_words"] = pa.array(spans, batch.schema.field("hit_words").type)
-            columns["hit_items"] = pa.array(items, batch.schema.field("hit_items").type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], schema=batch.schema)
+            columns["hit_words"] = pa.array(spans, piece.schema.field("hit_words").type)
+            columns["hit_items"] = pa.array(items, piece.schema.field("hit_items").type)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], schema=piece.schema)
 
     return scan
 
@@ -149,11 +151,11 @@ def decontaminated(docs, benchmark, id_column="doc_id", text_column="text", item
     blocks = -(-windows.count() // block_windows) or 1
     rows = docs.select(
         F.struct(*docs.columns).alias("row"),
-        F.expr(f"cast({text_column} as binary)").alias("text_utf8"),
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast(SPANS).alias("hit_words"),
         F.array().cast("array<string>").alias("hit_items"),
     )
+    place = field_place(docs, text_column)
     for block in range(blocks):
         in_block = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
         owned = {}
@@ -161,10 +163,10 @@ def decontaminated(docs, benchmark, id_column="doc_id", text_column="text", item
             own = owned.setdefault(row["window"], [])
             if row["item"] is not None:
                 own.append(row["item"])
-        rows = rows.mapInArrow(_block_scanner(spark.sparkContext.broadcast(owned)), rows.schema)
+        rows = rows.mapInArrow(_block_scanner(spark.sparkContext.broadcast(owned), place), rows.schema)
         if block < blocks - 1:
             rows = staged(rows, "decontamination")
-    return rows.drop("text_utf8")
+    return rows
 
 
 _WORD = None

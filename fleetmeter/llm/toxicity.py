@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetmeter.llm.batches import CHUNK_BYTES, LOWER, WORD_BYTES, text_chunks
+from fleetmeter.llm.batches import CHUNK_BYTES, LOWER, WORD_BYTES, field_place, row_slices, text_chunks
 
 ORDERS = (4, 5, 6)
 #: Training rows of each class, chosen by a hash of the id: the bound of the sample.
@@ -65,14 +65,13 @@ def _counted(batches):
     """Partial counts: in how many toxic and other texts an n-gram occurs."""
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
-        grams, positive = [], []
         for first, starts, data in text_chunks(batch.column(0)):
             data = data.translate(_SIGNS_OUT)
+            grams, positive = [], []
             for row in range(len(starts) - 1):
                 own = _distinct_grams(data[starts[row]:starts[row + 1]])
                 grams.append(own)
                 positive.append(np.full(len(own), toxic[first + row], np.int64))
-        if grams:
             keys, places = np.unique(np.concatenate(grams), return_inverse=True)
             ones = np.bincount(places, np.concatenate(positive), len(keys)).astype(np.int64)
             every = np.bincount(places, minlength=len(keys)).astype(np.int64)
@@ -217,16 +216,21 @@ def train(docs, labels, id_column="doc_id", text_column="text", label_column="to
     return ToxicityModel(grams, weight * ratio, intercept)
 
 
-def scored(docs, model, text_column="text"):
-    """(row, score): the rows of `docs` as they are, and the score of their text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _scorer(shared, place):
+    """Adds the score of the text, field number `place` of `row`."""
 
     def score(batches):
         for batch in batches:
-            scores = shared.value.scores(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["row", "score"])
+            for piece, texts in row_slices(batch, place):
+                scores = shared.value.scores(texts)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores)], names=["row", "score"])
+
+    return score
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"),
-                       F.expr(f"cast({text_column} as binary)").alias("text_utf8"))
+
+def scored(docs, model, text_column="text"):
+    """(row, score): the rows of `docs` as they are, and the score of their text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(_scorer(shared, field_place(docs, text_column)), schema)
