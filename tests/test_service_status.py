@@ -1,6 +1,7 @@
 """Service intervals and status, by hand and against brute force."""
 
 import datetime
+import os
 import random
 from collections import Counter
 
@@ -14,6 +15,7 @@ from fleetmeter.plans import service_status as plan
 from fleetmeter.plans.service_status import ServiceHistory, status_report
 from fleetmeter.schema import MAINTENANCE_SCHEMA
 from fleetmeter.sources import shaping
+from fleetmeter.sources.staging import temporary_tables
 from fleetmeter.sources.star import star_fact
 from tests import brute_force
 from tests.conftest import FOLDER
@@ -263,6 +265,51 @@ def test_number_of_many_assets_and_days(spark, often):
     assert sum(tried) <= found
 
 
+def test_days_of_service_are_found_in_narrow_rows(spark, maintenance_fact):
+    """Many rows lie between services and readings; none of them carries an asset's or a product's name."""
+    fact = maintenance_fact(random_rows(4))
+    read = maintenance.reading_days(maintenance.hour_readings(fact))
+    plan_text = maintenance.matched_services(shaping.cost_rows(fact), read)._jdf.queryExecution().executedPlan().toString()
+    sides = [line for line in plan_text.split("\n") if "FileScan" in line]
+    assert len(sides) == 2 and plan_text.count("due_day") > 0
+    narrow, = [line for line in sides if "product_name" not in line]
+    assert not any(name in narrow for name in ("asset_code", "asset_category", "asset_name"))
+
+
+def test_history_keeps_no_step_on_disk(spark, maintenance_fact):
+    """What only led to another table is gone once that is written."""
+    with temporary_tables(spark) as folder:
+        ServiceHistory(maintenance_fact(random_rows(5))).report()
+        kept = sorted(name.split("-")[0] for name in os.listdir(folder) if os.listdir(f"{folder}/{name}"))
+    assert kept == ["latest", "lowest", "readings", "services", "statistics"]
+
+
+@pytest.mark.parametrize("seed, few", [(1, 0), (3, 2)])
+def test_matched_services_by_hand(maintenance_fact, monkeypatch, seed, few):
+    """Each consumption with each day its number was due and its asset read, once."""
+    monkeypatch.setattr(maintenance, "FEW_DAYS", few)
+    rows = random_rows(seed)
+    fact = maintenance_fact(rows)
+    category = lambda r: r["asset_category"] or "Unknown Category"
+    readings = {(category(r), r["asset_code"], r["date"]) for r in rows
+                if r["source"] == "hm_record" and r["asset_code"] and r["date"]}
+    used = {tuple(category(r) if k == "asset_category" else r[k] for k in maintenance.consumption_keys())
+            for r in rows if r["source"] == "good_consume"}
+    events = {(r["consume_id_assignment"], r["due_date"], r["fix_hm_record"]) for r in rows
+              if r["source"] == "good_consume" and r["consume_id_assignment"] is not None and r["due_date"]}
+    expected = Counter()
+    for key in used:
+        of = dict(zip(maintenance.consumption_keys(), key))
+        if None not in key:
+            expected.update((*key, due.date()) for number, due, _ in events for c, a, at in readings
+                            if number == of["consume_id_good_consume"] and at.date() == due.date()
+                            and (c, a) == (of["asset_category"], of["asset_code"]))
+    read = maintenance.reading_days(maintenance.hour_readings(fact))
+    found = maintenance.matched_services(shaping.cost_rows(fact), read).collect()
+    assert expected == {(*[r[k] for k in maintenance.consumption_keys()], r["due_day"]): r["pairs"] for r in found}
+    assert len(found) == len(expected) > 5
+
+
 @pytest.mark.parametrize("rows, stretches", [(0, 3), (1, 3), (97, 1), (97, 8), (97, 60)])
 def test_page_directory(spark, rows, stretches):
     frame = spark.range(rows).select(

@@ -1,6 +1,7 @@
 """Reading, checking and staging."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,31 @@ def test_temporary_tables_go(spark, tmp_path):
     assert not staging.staging_path(spark, "x").startswith(folder)
 
 
+def test_a_write_ends_with_its_shuffle_files(spark):
+    def on_disk():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = on_disk()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("key")).agg(F.max("id").alias("most"))
+    kept = staging.staged(rows.repartitionByRange(3, "most"), "numbers")
+    until = time.time() + 10
+    while on_disk() - before and time.time() < until:  # the executors' answer is not waited for
+        time.sleep(0.1)
+    assert not on_disk() - before
+    assert kept.count() == 7
+    assert spark.conf.get(staging.SHUFFLES_REMOVED, None) is None
+
+
+def test_what_leads_to_a_table_goes(spark):
+    with staging.temporary_tables(spark) as folder:
+        steps = []
+        kept = staging.staged_alone(spark, "kept", lambda: steps.append(staging.staged(spark.range(5), "step")) or steps[0])
+        assert kept.count() == 5 and folder.removeprefix("file:") in kept.inputFiles()[0]
+        with pytest.raises(Exception):
+            steps[0].count()
+
+
 def test_rewritten_tables_are_another_version(spark, tmp_path):
     path = str(tmp_path / "table")
     spark.range(5).write.parquet(path)
