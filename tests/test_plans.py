@@ -51,3 +51,14 @@ def test_the_fact_is_written_once(spark):
     assert all("lineitem" not in plan for plan in plans[1:])
     paths = {re.search(r"/fact-[0-9a-f]+", queries._maintenance_fact(spark, FOLDER).inputFiles()[0]).group() for _ in range(2)}
     assert len(paths) == 1
+
+
+def test_history_by_subcategory_reads_the_written_fact(spark, monkeypatch):
+    """Not the tables it is made of, whose joins each branch would repeat."""
+    seen = []
+    made = queries.ServiceHistory
+    monkeypatch.setattr(queries, "ServiceHistory", lambda *a: seen.append(made(*a)) or seen[-1])
+    for name in ["status_report_subcategory", "status_filtered_subcategory"]:
+        QUERIES[name](spark, FOLDER)
+        plan = plan_of(seen.pop().fact)
+        assert "lineitem" not in plan and "/fact-" in plan
