@@ -104,6 +104,16 @@ def test_a_write_ends_with_its_shuffle_files(spark):
     assert spark.conf.get(staging.SHUFFLES_REMOVED, None) is None
 
 
+@pytest.mark.parametrize("folders", [0, 2, 9])
+def test_folders_written_side_by_side(spark, folders):
+    """Also where a task has rows of more folders than may be open."""
+    rows = spark.range(100, numPartitions=2).select("id", F.nullif(F.col("id") % 5, F.lit(4)).alias("kind"))
+    kept = staging.staged(rows, "kinds", by=["kind"], folders=folders)
+    assert sorted(map(str, kept.select("id", "kind").collect())) == sorted(map(str, rows.collect()))
+    assert len({f.rsplit("/", 2)[1] for f in kept.inputFiles()}) == 5
+    assert spark.conf.get(staging.SIDE_BY_SIDE) == "0"
+
+
 def test_what_leads_to_a_table_goes(spark):
     with staging.temporary_tables(spark) as folder:
         steps = []
